@@ -134,7 +134,9 @@ def mixed_documents(docs: DataFrame, weights=(5, 2, 1), total: float = 1.5, most
     white space before them; one that is taken whole keeps its text.
     """
     columns = docs.columns
-    out = _drawn(docs, weights, total, most, seed).where("taken > 0")
+    others = [c for c in columns if c not in ("doc_id", "text", "source")]
+    kept = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]) if others else F.lit(0)
+    out = _drawn(docs.select("doc_id", "text", "source", kept.alias("__kept")), weights, total, most, seed).where("taken > 0")
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int") + F.lit(0))))
     first = F.least("taken", "size")
@@ -148,9 +150,10 @@ def mixed_documents(docs: DataFrame, weights=(5, 2, 1), total: float = 1.5, most
     part = F.array_join(F.filter(words, take), "")
     whole = (F.col("taken") == F.col("size") * most) | ((F.col("__copy") == 1) & (F.col("quota") >= F.col("blocks"))) | (share == F.col("size")) & (F.col("quota") < F.col("blocks"))
     out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(part)).where("text <> ''")
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+    back = {c: F.col(f"__kept.c{i}").alias(c) for i, c in enumerate(others)}
+    if "n_chars" in back:
+        back["n_chars"] = F.length("text").cast("long").alias("n_chars")
+    return out.select(*[back.get(c, F.col(c)) for c in columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ alternating large-star and small-star.
 How it stays whole and linear.  Documents with equal sets are one node.  A
 bucket (a band value) first links every member to its smallest member, so a
 bucket of m members gives m - 1 pairs.  After components are known, members of
-one component need no more comparison; buckets that still hold several
-components have each of their minority members compared with all members of
-other components, in rounds of at most ``PIVOTS`` minority members per bucket.
+one component need no more comparison.  In buckets that still hold several
+components, the members outside the largest meet a few members of it, which
+joins nearly all that belong together; then each member that is still outside
+meets all members of other components, ``PIVOTS`` per bucket and round.
 No bucket is capped and no pair that banding proposes stays untested, unless
 its two documents are already in one component.
 
@@ -36,6 +37,8 @@ from .common import Scratch, flat_words, mix, read, slices, word_hashes
 BANDS, ROWS = 36, 5
 #: Minority members of a bucket that are compared with all its members in one round.
 PIVOTS = 64
+#: How many members of a bucket's main component meet its other members, round by round.
+LEADERS = (4, 16)
 #: Rows of (two longs) up to which a list of documents is broadcast; beyond, a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
 
@@ -115,34 +118,39 @@ def _sets(words: int, hashes: int):
             sets = shingle_sets(batch.column("text"), words)
             sig = (_signatures(sets, hashes) & np.uint32(255)).astype(np.uint8)
             yield pa.record_batch(
-                [batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())],
-                names=["node", "set", "sig"],
+                [batch.column("node"), pa.array([len(s) for s in sets], pa.int32())] + [pa.array([s.tobytes() for s in x], pa.binary()) for x in (sets, sig)],
+                names=["node", "n", "set", "sig"],
             )
 
     return run
 
 
-def _confirm(num: int, den: int, hashes: int):
-    """Keep pairs whose signatures allow, and whose full sets have, den * both >= num * either."""
+def _alike(num: int, den: int, hashes: int):
+    """Keep pairs whose sizes and signatures allow the threshold: five standard deviations of leeway."""
     t = num / den
-    floor = t - 6 * (max(t * (1 - t), 0.01) / hashes) ** 0.5
+    floor = (t - 5 * (max(t * (1 - t), 0.01) / hashes) ** 0.5) * hashes
+
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            sa, sb = (np.array(batch.column(c).to_pylist(), dtype=f"V{hashes}").view(np.uint8).reshape(-1, hashes) for c in ("sig_a", "sig_b"))
+            ok = (np.count_nonzero(sa == sb, axis=1) >= floor) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+def _confirm(num: int, den: int):
+    """Keep pairs whose full sets have den * both >= num * either."""
 
     def run(batches):
         for batch in batches:
             keep = []
-            for a, b, sa, sb in zip(*(batch.column(c).to_pylist() for c in ("set_a", "set_b", "sig_a", "sig_b")), strict=True):
-                na, nb = len(a) // 8, len(b) // 8
-                ok = den * min(na, nb) >= num * max(na, nb)
-                if ok:
-                    ok = np.count_nonzero(np.frombuffer(sa, np.uint8) == np.frombuffer(sb, np.uint8)) >= floor * hashes
-                if ok:
-                    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                    at = np.searchsorted(y, x)
-                    both = int(np.count_nonzero(y[np.minimum(at, nb - 1)] == x))
-                    ok = den * both >= num * (na + nb - both)
-                keep.append(bool(ok))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+                keep.append(den * both >= num * (len(x) + len(y) - both))
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -201,37 +209,61 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         wanted = scratch.cut(first.join(named, "node"))
         side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
         texts = docs.join(side, (docs.th == side.rep_th) & docs.doc_id.eqNullSafe(side.rep_id)).select("node", "text")
-        full = scratch.cut(texts.mapInArrow(_sets(words, bands * rows), "node long, set binary, sig binary"))
-        x = pairs.join(full.select(F.col("node").alias("a"), F.col("set").alias("set_a"), F.col("sig").alias("sig_a")), "a")
-        x = x.join(full.select(F.col("node").alias("b"), F.col("set").alias("set_b"), F.col("sig").alias("sig_b")), "b")
-        out = scratch.cut(x.mapInArrow(_confirm(num, den, bands * rows), "a long, b long"))
-        scratch.drop(full, wanted)
+        full = scratch.cut(texts.mapInArrow(_sets(words, bands * rows), "node long, n int, set binary, sig binary"))
+
+        def both(x: DataFrame, *names: str) -> DataFrame:
+            for end in ("a", "b"):
+                x = x.join(full.select(F.col("node").alias(end), *[F.col(n).alias(f"{n}_{end}") for n in names]), end)
+            return x
+
+        like = scratch.cut(both(pairs, "n", "sig").mapInArrow(_alike(num, den, bands * rows), "a long, b long"))
+        out = scratch.cut(both(like, "set").mapInArrow(_confirm(num, den), "a long, b long"))
+        scratch.drop(full, wanted, like)
         return out
 
-    links = confirmed(tested)
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    def links(pairs: DataFrame) -> DataFrame:
+        return confirmed(pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    def still_open(labels: DataFrame) -> DataFrame:
+        """Rows (band, node, label, main) of the buckets of three or more nodes that hold several components; main: the most frequent label."""
+        named = members.join(labels, members.node == labels.u, "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+        named = scratch.cut(named)
+        sizes = named.groupBy("band", "label").agg(F.count("*").alias("n"))
+        sizes = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+        sizes = sizes.where("all > 2 and all > top.n")
+        sizes = sizes.select("band", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / PIVOTS).cast("int").alias("rounds"))
+        out = scratch.cut(named.join(sizes, "band"))
+        scratch.drop(named)
+        return out
+
+    edges = links(tested)
     labels = connected_components(edges, scratch)
+    left = still_open(labels)
+    for seed, n in enumerate(LEADERS):
+        # Every other member meets a few members of its bucket's main component.  Seeded minima choose them, so buckets that share members mostly share these.
+        lead = [F.min(F.struct(F.xxhash64(F.lit(100 * seed + i), "node"), "node")).alias(f"p{i}") for i in range(n)]
+        lead = left.where("label = main").groupBy("band").agg(*lead).select("band", F.array_distinct(F.array(*[f"p{i}.node" for i in range(n)])).alias("lead"))
+        met = left.where("label <> main").join(lead, "band").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("lead"))).alias("lead"))
+        pairs = met.select("node", F.explode("lead").alias("p")).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))
+        pairs = scratch.cut(pairs.join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        edges, tested = edges.union(links(pairs)), tested.union(pairs)
+        labels = connected_components(edges, scratch)
+        scratch.drop(left)
+        left = still_open(labels)
 
-    # Buckets of three or more nodes that still hold several components.
-    named = members.join(labels, members.node == labels.u, "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    named = scratch.cut(named)
-    open_ = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("band")
-    left = scratch.cut(named.join(open_, "band"))
-    sizes = left.groupBy("band", "label").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
-    sizes = sizes.select("band", F.col("top.label").alias("main"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.n")) / PIVOTS)).cast("int").alias("rounds"))
-    minor = scratch.cut(left.join(sizes, "band").where("label <> main").select("band", F.col("node").alias("p"), F.col("label").alias("p_label"), F.expr("pmod(xxhash64(node), rounds)").alias("round")))
+    # What is left is exact: each member outside the main component meets all members of other components.
+    minor = scratch.cut(left.where("label <> main").select("band", F.col("node").alias("p"), F.col("label").alias("p_label"), F.expr("pmod(xxhash64(node), rounds)").alias("round")))
     rounds = minor.agg(F.max("round")).first()[0]
     if rounds is not None:
         for r in range(int(rounds) + 1):
             pairs = minor.where(F.col("round") == r).join(left, "band").where("p_label <> label")
             pairs = pairs.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-            pairs = scratch.cut(pairs.join(tested, ["a", "b"], "left_anti"))
-            more = confirmed(pairs)
-            edges = edges.union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            edges = edges.union(links(scratch.cut(pairs.join(tested, ["a", "b"], "left_anti"))))
         labels = connected_components(edges, scratch)
 
-    scratch.drop(members, named, left, minor)
+    scratch.drop(members, left, minor)
     nodes = first.select("node", "rep_id").join(labels, F.col("node") == F.col("u")).select("node", "label", "rep_id")
     smallest = nodes.groupBy("label").agg(F.min("rep_id").alias("c"))
     linked = nodes.join(smallest, "label").select(F.col("node").alias("l_node"), "c")
