@@ -1,10 +1,83 @@
-"""A training-data pipeline over ``documents``."""
+"""A training-data pipeline over ``documents``: language, near duplicates, personal data, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's docs.  All but the last return
+the columns of ``documents``.
+
+Cases: null and empty texts go with language identification.  Rows repeated
+with one doc_id are one document for the near-duplicate stage.  Extra columns
+are kept until packing.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from inkwell.llm.common import Scratch, read
+from inkwell.llm.op2_minhash import BROADCAST_ROWS, near_duplicates
+from inkwell.llm.op4_pii import mask_pii
+from inkwell.llm.op7_packing import pack
+from inkwell.llm.op8_langid import accepted_documents
+from inkwell.llm.op10_mixing import mixed_documents
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified."""
+    return accepted_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest doc_id."""
+    scratch = Scratch(spark, "dedup")
+    found = scratch.cut(near_duplicates(docs).select("doc_id", "kept"))
+    dropped = found.where("not kept").select("doc_id").distinct()
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    # Rows that repeat a kept id, if there are any.
+    again = scratch.cut(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    once = Window.partitionBy("doc_id").orderBy("text")
+    one = left.join(again, "doc_id", "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(one.select(*docs.columns))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return mask_pii(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes, a row for each time that words of a document are taken."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("personal_data", personal_data),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+#: The language model, the network and MinHash are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = read(spark, sf_dir, "documents")
+    before = None
+    for name, stage in STAGES[:-1]:
+        docs = scratch.cut(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

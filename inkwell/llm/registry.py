@@ -5,13 +5,15 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .op2_minhash import op2_minhash
+from .op4_pii import op4_pii
+from .op7_packing import op7_packing
+from .op8_langid import op8_langid
+from .op10_mixing import op10_mixing
 
 
 def queries() -> dict:
-    return {
-        "op2_minhash": op2_minhash,
-        "pipeline": corpus_pipeline.run,
-    }
+    ops = (op2_minhash, op4_pii, op7_packing, op8_langid, op10_mixing)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
