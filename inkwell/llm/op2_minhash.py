@@ -5,14 +5,14 @@ verification, confirmation on full sets, and connected components by
 alternating large-star and small-star.
 
 How it stays whole and linear.  Documents with equal sets are one node.  A
-bucket (a band value) first links every member to its smallest member, so a
-bucket of m members gives m - 1 pairs.  After components are known, members of
-one component need no more comparison.  In buckets that still hold several
-components, the members outside the largest meet a few members of it, which
-joins nearly all that belong together; then each member that is still outside
-meets all members of other components, ``PIVOTS`` per bucket and round.
-No bucket is capped and no pair that banding proposes stays untested, unless
-its two documents are already in one component.
+bucket (a band value) links each member to its smallest member, so a bucket of
+m members gives m - 1 pairs.  Nodes of one component need no more comparison.
+Buckets tie nodes to clusters; a cluster that still holds several components is
+dealt into blocks of about ``BLOCK`` shingles, and each two blocks meet in one
+task that counts overlaps of full sets by matrix products and gives a spanning
+forest of the links between components.  No bucket is capped, no pair that
+banding proposes stays untested unless its two documents are already in one
+component, and no list of all pairs of a group is ever made.
 
 Chance of a miss: two sets at the threshold 0.8 share none of 36 bands of 5
 with probability (1 - 0.8**5)**36 = 6e-7.
@@ -35,10 +35,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, flat_words, mix, read, slices, word_hashes
 
 BANDS, ROWS = 36, 5
-#: Minority members of a bucket that are compared with all its members in one round.
-PIVOTS = 64
-#: How many members of a bucket's main component meet its other members, round by round.
-LEADERS = (4, 16)
+#: Shingles of a block of a cluster; two blocks meet in one task.
+BLOCK = 1 << 18
 #: Rows of (two longs) up to which a list of documents is broadcast; beyond, a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
 
@@ -155,6 +153,66 @@ def _confirm(num: int, den: int):
     return run
 
 
+def _overlaps(sets: list[np.ndarray], few: int = 16) -> np.ndarray:
+    """How many elements each two sets share."""
+    k = len(sets)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(k), [len(s) for s in sets])
+    out = np.zeros((k, k), np.float32)
+    # Elements of few sets add to single pairs; those of many go through matrix products.
+    order = np.argsort(code, kind="stable")
+    row, code, count = row[order], code[order], count[code[order]]
+    low = (count > 1) & (count <= few)
+    r, c = row[low], code[low]
+    for step in range(1, few):
+        same = np.flatnonzero(c[step:] == c[:-step]) if len(c) > step else np.zeros(0, np.int64)
+        if not len(same):
+            break
+        pairs = np.bincount(r[same] * k + r[same + step], minlength=k * k).reshape(k, k).astype(np.float32)
+        out += pairs + pairs.T
+    r, c = row[count > few], code[count > few]
+    ids = np.unique(c, return_inverse=True)[1] if len(c) else c
+    for start in range(0, int(ids.max()) + 1 if len(ids) else 0, 2048):
+        part = (ids >= start) & (ids < start + 2048)
+        m = np.zeros((k, 2048), np.float32)
+        m[r[part], ids[part] - start] = 1
+        out += m @ m.T
+    return out
+
+
+def _between_blocks(num: int, den: int):
+    """Links between nodes of different labels of two blocks of a cluster: a spanning forest of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, label = table.column("node").to_pylist(), table.column("label").to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+        block = table.column("block").to_numpy()
+        u, v = [], []
+        if len(np.unique(label)) > 1:
+            n = np.array([len(s) for s in sets], np.float64)
+            shared = _overlaps(sets).astype(np.float64)
+            ok = den * shared >= num * (n[:, None] + n[None, :] - shared)
+            ok &= label[:, None] != label[None, :]
+            if len(np.unique(block)) > 1:
+                ok &= block[:, None] != block[None, :]
+            root = {x: x for x in label.tolist()}
+
+            def find(x):
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for a, b in zip(*np.nonzero(np.triu(ok)), strict=True):
+                x, y = find(int(label[a])), find(int(label[b]))
+                if x != y:
+                    root[x] = y
+                    u.append(node[a])
+                    v.append(node[b])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v) links -> (u, label), label the smallest node of the component; by alternating large-star and small-star.
 
@@ -204,66 +262,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     first = signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("x"))
     first = first.select("node", F.col("x.doc_id").alias("rep_id"), F.col("x.th").alias("rep_th"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = scratch.cut(first.join(named, "node"))
-        side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        texts = docs.join(side, (docs.th == side.rep_th) & docs.doc_id.eqNullSafe(side.rep_id)).select("node", "text")
-        full = scratch.cut(texts.mapInArrow(_sets(words, bands * rows), "node long, n int, set binary, sig binary"))
-
-        def both(x: DataFrame, *names: str) -> DataFrame:
-            for end in ("a", "b"):
-                x = x.join(full.select(F.col("node").alias(end), *[F.col(n).alias(f"{n}_{end}") for n in names]), end)
-            return x
-
-        like = scratch.cut(both(pairs, "n", "sig").mapInArrow(_alike(num, den, bands * rows), "a long, b long"))
-        out = scratch.cut(both(like, "set").mapInArrow(_confirm(num, den), "a long, b long"))
-        scratch.drop(full, wanted, like)
-        return out
-
-    def links(pairs: DataFrame) -> DataFrame:
-        return confirmed(pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    def still_open(labels: DataFrame) -> DataFrame:
-        """Rows (band, node, label, main) of the buckets of three or more nodes that hold several components; main: the most frequent label."""
-        named = members.join(labels, members.node == labels.u, "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        named = scratch.cut(named)
-        sizes = named.groupBy("band", "label").agg(F.count("*").alias("n"))
-        sizes = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
-        sizes = sizes.where("all > 2 and all > top.n")
-        sizes = sizes.select("band", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / PIVOTS).cast("int").alias("rounds"))
-        out = scratch.cut(named.join(sizes, "band"))
-        scratch.drop(named)
-        return out
-
-    edges = links(tested)
+    # Full sets of the nodes that share a bucket with another.
+    nodes = members.select("node").distinct()
+    wanted = scratch.cut(first.join(nodes, "node"))
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.join(side, (docs.th == side.rep_th) & docs.doc_id.eqNullSafe(side.rep_id)).select("node", "text")
+    full = scratch.cut(texts.mapInArrow(_sets(words, bands * rows), "node long, n int, set binary, sig binary"))
+
+    def both(x: DataFrame, *names: str) -> DataFrame:
+        for end in ("a", "b"):
+            x = x.join(full.select(F.col("node").alias(end), *[F.col(n).alias(f"{n}_{end}") for n in names]), end)
+        return x
+
+    like = scratch.cut(both(tested, "n", "sig").mapInArrow(_alike(num, den, bands * rows), "a long, b long"))
+    linked = scratch.cut(both(like, "set").mapInArrow(_confirm(num, den), "a long, b long"))
+    edges = linked.select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = connected_components(edges, scratch)
-    left = still_open(labels)
-    for seed, n in enumerate(LEADERS):
-        # Every other member meets a few members of its bucket's main component.  Seeded minima choose them, so buckets that share members mostly share these.
-        lead = [F.min(F.struct(F.xxhash64(F.lit(100 * seed + i), "node"), "node")).alias(f"p{i}") for i in range(n)]
-        lead = left.where("label = main").groupBy("band").agg(*lead).select("band", F.array_distinct(F.array(*[f"p{i}.node" for i in range(n)])).alias("lead"))
-        met = left.where("label <> main").join(lead, "band").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("lead"))).alias("lead"))
-        pairs = met.select("node", F.explode("lead").alias("p")).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))
-        pairs = scratch.cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        edges, tested = edges.union(links(pairs)), tested.union(pairs)
-        labels = connected_components(edges, scratch)
-        scratch.drop(left)
-        left = still_open(labels)
-
-    # What is left is exact: each member outside the main component meets all members of other components.
-    minor = scratch.cut(left.where("label <> main").select("band", F.col("node").alias("p"), F.col("label").alias("p_label"), F.expr("pmod(xxhash64(node), rounds)").alias("round")))
-    rounds = minor.agg(F.max("round")).first()[0]
-    if rounds is not None:
-        for r in range(int(rounds) + 1):
-            pairs = minor.where(F.col("round") == r).join(left, "band").where("p_label <> label")
-            pairs = pairs.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-            edges = edges.union(links(scratch.cut(pairs.join(tested, ["a", "b"], "left_anti"))))
-        labels = connected_components(edges, scratch)
-
-    scratch.drop(members, left, minor)
+
+    # Clusters of nodes that buckets tie together; those of three or more nodes that still hold several components are open.
+    clusters = connected_components(tested.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+    named = clusters.select(F.col("u").alias("node"), F.col("label").alias("cluster")).join(labels, F.col("node") == F.col("u"), "left")
+    named = named.select("node", "cluster", F.coalesce("label", "node").alias("label")).join(full.select("node", "n"), "node")
+    named = scratch.cut(named)
+    open_ = named.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k"), F.sum("n").alias("size")).where("lo <> hi and k > 2")
+    open_ = open_.select("cluster", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    open_ = scratch.cut(named.join(open_, "cluster").select("node", "cluster", "label", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block"), "blocks"))
+    dealt = open_.join(full.select("node", "set"), "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "set")
+    more = dealt.groupBy("cluster", "i", "j").applyInArrow(_between_blocks(num, den), "u long, v long")
+    more = scratch.cut(more)
+    if not more.isEmpty():
+        labels = connected_components(edges.union(more), scratch)
+
+    scratch.drop(members, wanted, full, like, named, open_)
     nodes = first.select("node", "rep_id").join(labels, F.col("node") == F.col("u")).select("node", "label", "rep_id")
     smallest = nodes.groupBy("label").agg(F.min("rep_id").alias("c"))
     linked = nodes.join(smallest, "label").select(F.col("node").alias("l_node"), "c")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from inkwell.llm import op2_minhash as m
@@ -57,21 +58,44 @@ def corpus(seed=5):
     return rows
 
 
-@pytest.mark.parametrize("pivots", [64, 1])
-def test_against_brute_force(spark, monkeypatch, pivots):
-    monkeypatch.setattr(m, "PIVOTS", pivots)
+@pytest.mark.parametrize("block", [1 << 18, 200])
+def test_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(m, "BLOCK", block)
     rows = corpus()
     assert got(spark, rows, words=2) == brute(rows)
 
 
 def test_many_components_in_one_bucket(spark, monkeypatch):
-    """One band of one row: buckets hold unlike documents, so the later rounds have work."""
-    monkeypatch.setattr(m, "PIVOTS", 2)
+    """Bands of one row: buckets hold unlike documents, so blocks have work."""
+    monkeypatch.setattr(m, "BLOCK", 400)
     shared = " ".join(f"s{i}" for i in range(60))
     rows = [(i, f"{shared} " + " ".join(f"u{i // 3}x{j}" for j in range(30)) + f" z{i}") for i in range(30)]
     assert got(spark, rows, words=2, bands=40, rows=1) == brute(rows)
 
 
+def test_near_copies_of_near_copies(spark, monkeypatch):
+    """One large cluster in which many documents are unlike its centre."""
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for _ in range(r.randrange(0, 7)):
+            w[r.randrange(60)] = f"e{r.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    for block in (1 << 18, 700):
+        monkeypatch.setattr(m, "BLOCK", block)
+        assert got(spark, rows, words=2) == brute(rows)
+
+
+def test_overlaps():
+    r = random.Random(1)
+    sets = [np.array(sorted(r.sample(range(200), r.randint(1, 90))), np.uint64) for _ in range(50)]
+    want = [[len(np.intersect1d(a, b)) if a is not b else None for b in sets] for a in sets]
+    got = m._overlaps(sets, few=9)
+    assert all(want[i][j] is None or want[i][j] == got[i, j] for i in range(50) for j in range(50))
+
+
 def test_shuffle_join_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(m, "BROADCAST_ROWS", 0)
     rows = corpus(9)
