@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import as_binary, read, slices
 
 #: Labelled rows at most, fewest training rows with a word, folds, steps of training.
-SAMPLE, MIN_ROWS, FOLDS, STEPS = 3000, 3, 4, 150
+SAMPLE, MIN_ROWS, FOLDS, STEPS = 5000, 3, 4, 150
 #: Least chi-square of a feature with a category for the model to use it.
-CHI = 25.0
+CHI = 60.0
 #: Bytes of the word beginnings that are features too, for inflected words.
 BEGINNINGS = (5, 7)
 
