@@ -11,8 +11,8 @@ Ranks need no single task and no sort of a frequent length: each input
 partition numbers its own pieces of each length as it writes them, and
 per-partition counts are summed up to offsets.
 
-Words are tokenised once for each distinct white-space-free chunk of a
-partition's slice; the tokenizer's patterns never cross ASCII white space.
+Distinct white-space-free chunks, parted from trailing marks, are tokenised
+once and remembered; the tokenizer's patterns never cross these borders.
 
 Cases: null text is empty and has the end id alone.  Repeated rows are each
 packed.  Empty tables give empty results.  Very long texts give many pieces.
@@ -26,6 +26,7 @@ from bisect import insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ from .common import Scratch, flat_words, read, slices
 #: Ids of a sequence, longest piece, and distinct chunks whose ids a worker remembers.
 SEQUENCE, PIECE, REMEMBER = 2048, 512, 400_000
 END_ID = 1
+#: A letter or digit and the marks after it, which the tokenizer takes apart.
+_MARKS = r"([\pL\pN])([.,!?*#&$%;:]+)"
 
 
 def default_tokenizer() -> str:
@@ -53,35 +56,77 @@ class Chunks:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # A special token between chunks keeps them apart, so many take one call.
+        self.folds = self._same("The Quick BROWN Fox's", "the quick brown fox's")
+        self.splits = self._same("one, two... three!! é% 4# a;b", "one , two ... three !! é % 4 # a ;b")
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
         self.clear()
 
+    def _same(self, a: str, b: str) -> bool:
+        return self.tokenizer.encode(a, add_special_tokens=False).ids == self.tokenizer.encode(b, add_special_tokens=False).ids
+
     def clear(self):
         self.at: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.start = np.zeros(1, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.known = np.zeros(1 << 16, np.int64), 0
+
+    def _add(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray):
+        need = self.used + len(ids)
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(need, np.uint32)])
+        self.ids[self.used : need] = ids
+        if self.known + len(chunks) + 1 > len(self.start):
+            self.start = np.concatenate([self.start[: self.known + 1], np.zeros(self.known + len(chunks), np.int64)])
+        self.start[self.known + 1 : self.known + 1 + len(chunks)] = self.used + np.cumsum(lengths)
+        self.at.update(zip(chunks, range(self.known, self.known + len(chunks)), strict=True))
+        self.used, self.known = need, self.known + len(chunks)
+
+    def _learn(self, chunks: list[str]):
+        encode = self.tokenizer.encode_batch_fast
+        odd = [c for c in chunks if not self.special or any(x in c for x in self.special)]
+        if odd:
+            for c, e in zip(odd, encode(odd, add_special_tokens=False), strict=True):
+                self._add([c], np.array(e.ids, np.uint32), np.array([len(e.ids)]))
+            odd_set = set(odd)
+            chunks = [c for c in chunks if c not in odd_set]
+        mark, number = next(iter(self.special.items()), ("", -1))
+        for s in range(0, len(chunks), 2048):
+            part = chunks[s : s + 2048]
+            ids = np.array(encode([mark.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = ids == number
+            ends = np.append(np.flatnonzero(cut), len(ids))
+            self._add(part, ids[~cut], np.diff(ends, prepend=-1) - 1)
 
     def __call__(self, chunks: list[str]) -> np.ndarray:
-        if len(self.at) + len(chunks) > REMEMBER:
+        if self.known + len(chunks) > REMEMBER:
             self.clear()
         new = [c for c in chunks if c not in self.at]
         if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            n = len(self.at)
-            self.at.update((c, n + i) for i, c in enumerate(new))
-            self.ids = np.concatenate([self.ids, *[np.array(g, np.uint32) for g in got]])
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(g) for g in got])])
-        return np.fromiter((self.at[c] for c in chunks), np.int64, len(chunks))
+            self._learn(new)
+        return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
 
     def flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column's texts one after another, and each text's first."""
-        offsets, idx, names = flat_words(column, lower=False)
+        # Capitals are folded by the tokenizer anyhow, but would make a special token of "<|X|>".
+        lower = self.folds and not pc.any(pc.match_substring(column, "<|"), min_count=0).as_py()
+        offsets, idx, names = flat_words(column, lower=lower)
         if not len(idx):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        chunk = self(names.to_pylist())[idx]
-        start, length = self.start[chunk], self.start[chunk + 1] - self.start[chunk]
-        ends = np.cumsum(length)
-        take = np.repeat(start - (ends - length), length) + np.arange(ends[-1])
-        return self.ids[take], np.concatenate(([0], ends))[offsets]
+        if self.splits:
+            names = pc.replace_substring_regex(names, _MARKS, r"\1 \2")
+        cuts, piece, names = flat_words(names, lower=False)
+        piece = self(names.to_pylist())[piece]
+        take, ends = _runs(cuts[:-1][idx], np.diff(cuts)[idx])
+        offsets = ends[offsets]
+        piece = piece[take]
+        take, ends = _runs(self.start[piece], self.start[piece + 1] - self.start[piece])
+        return self.ids[take], ends[offsets]
+
+
+def _runs(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes start .. start + length of each run, one after another, and where each run begins, with the end."""
+    ends = np.concatenate(([0], np.cumsum(length)))
+    return np.repeat(start - ends[:-1], length) + np.arange(ends[-1]), ends
 
 
 def _pieces(path: str, piece: int):
@@ -89,7 +134,7 @@ def _pieces(path: str, piece: int):
         chunks = Chunks(path)
         pid = TaskContext.get().partitionId()
         seen = np.zeros(piece + 1, np.int64)
-        for batch in slices(batches, rows=2048, bytes_=8 << 20):
+        for batch in slices(batches, rows=1024, bytes_=2 << 20):
             ids, first = chunks.flat(batch.column("text"))
             row, start, length, crc, rank, total = [], [], [], [], [], []
             for i in range(batch.num_rows):

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from inkwell.llm import op7_packing as m
 
 SCHEMA = "doc_id long, text string, length string, part string"
-TEXTS = [None, "", " ", "Hello World, it's 2024!", "a\x0bb\x0cc\x1cd\x85e\xa0f", "É é ñ", "x<|endoftext|>y <|startoftext|>", "don't  DON'T\n\n12345 \t日本語 テスト", "İstanbul ΣΑΣ", "word " * 9000]
+TEXTS = [None, "", " ", "Hello World, it's 2024!", "a\x0bb\x0cc\x1cd\x85e\xa0f", "É é ñ", "x<|endoftext|>y <|startoftext|>", "don't  DON'T\n\n12345 \t日本語 テスト", "İstanbul ΣΑΣ", "<|ENDOFTEXT|> THE <|x", "a.b,c!!d?e*f# 1.5%; é: 's't don't, it's. x''y", "e\u0301. n\u0303!", "word " * 9000]
 
 
 def check(rows, docs, sequence):
@@ -44,7 +44,7 @@ def test_small_table(spark, sf):
 
 def test_forgetting(spark, monkeypatch):
     monkeypatch.setattr(m, "REMEMBER", 3)
-    docs = [(i, t) for i, t in enumerate(TEXTS[:9])]
+    docs = [(i, t) for i, t in enumerate(TEXTS[:12])]
     check(m.pack(spark.createDataFrame([(i, t, "", "") for i, t in docs], SCHEMA), sequence=16, piece=8).collect(), docs, 16)
 
 
