@@ -62,7 +62,8 @@ def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     rank, have = data.astype(np.uint64) + np.uint64(1), 1
     while have * 2 <= length:
-        rank = mix(rank[:-have] * _M + rank[have:])
+        rank = rank[:-have] * _M + rank[have:]
+        rank ^= rank >> np.uint64(29)
         have *= 2
     return mix(rank[:n] * _M + rank[length - have : length - have + n])
 
@@ -81,6 +82,17 @@ def least_positions(rank: np.ndarray, width: int) -> np.ndarray:
     return np.where(rank[b] < rank[a], b, a)
 
 
+def ranks_and_least(data: np.ndarray, half: int, width: int, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Both for all positions, in blocks that stay in a core's cache."""
+    n = len(data)
+    ranks, least = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for s in range(0, n, block):
+        rank = prefix_ranks(data[s : s + block + half + width - 2], half)
+        ranks.append(rank[:block])
+        least.append(least_positions(rank, width)[:block] + np.int32(s))
+    return np.concatenate(ranks), np.concatenate(least)
+
+
 def _bits(mask: np.ndarray) -> bytes:
     return np.packbits(mask).tobytes()
 
@@ -104,11 +116,13 @@ class Chunk:
         self.bytes = zstandard.ZstdDecompressor().decompress(row["z"])
         self.ranges, self.length, half = ranges, length, length // 2
         data = np.frombuffer(self.bytes, np.uint8)
-        rank = prefix_ranks(data, half)
+        rank, least = ranks_and_least(data, half, length - half + 1)
         doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.ends, prepend=0))
-        least = least_positions(rank, length - half + 1)
         at = np.flatnonzero(self.ends[doc[: len(least)]] - np.arange(len(least)) >= length).astype(np.int32)
-        chosen, inverse = np.unique(least[at], return_inverse=True)
+        # Chosen positions never step back, so they are grouped as they are.
+        chosen = least[at]
+        new = np.concatenate((np.ones(min(1, len(at)), bool), chosen[1:] != chosen[:-1]))
+        inverse, chosen = np.cumsum(new) - 1, chosen[new]
         self.names, self.name_of = np.unique(rank[chosen] >> np.uint64(24), return_inverse=True)
         own = self.ids[doc[chosen]]
         low, high = _group_min(self.name_of, own, len(self.names)), -_group_min(self.name_of, -own, len(self.names))
