@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, flat_words, read, slices
 
 #: Ids of a sequence, longest piece, and distinct chunks whose ids a worker remembers.
-SEQUENCE, PIECE, REMEMBER = 2048, 512, 400_000
+SEQUENCE, PIECE, REMEMBER = 2048, 512, 250_000
 END_ID = 1
 #: A letter or digit and the marks after it, which the tokenizer takes apart.
 _MARKS = r"([\pL\pN])([.,!?*#&$%;:]+)"

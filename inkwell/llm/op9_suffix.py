@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_binary, mix, read, slices
+from .common import Scratch, as_binary, mix, read, slices, trim
 
 LENGTH, EVERY = 50, 8
 #: Bytes of a chunk, and bytes of text for each range of ranks that one task sorts.
@@ -203,6 +203,7 @@ def _asks(ranges: int, length: int, step: int):
                     for r, s, e in c.parts(c.pairs, 64):
                         docs, at = np.unique(c.smallest[s:e], return_inverse=True)
                         out.append((r, row["chunk"], e - s, c.pairs[s:e].tobytes(), np.concatenate([docs.view(np.uint8), at.astype(np.uint32 if len(docs) > 65536 else np.uint16).view(np.uint8), np.array([len(docs)], np.int64).view(np.uint8)]).tobytes()))
+                trim()
                 if out:
                     yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["range", "chunk", "n", "names", "more"])
 
