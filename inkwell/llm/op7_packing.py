@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, flat_words, read, slices
 
-#: Ids of a sequence, longest piece, and distinct chunks whose ids a worker remembers.
-SEQUENCE, PIECE, REMEMBER = 2048, 512, 250_000
+#: Ids of a sequence, longest piece, and distinct chunks whose ids a worker remembers at most (beyond one slice's).
+SEQUENCE, PIECE, REMEMBER = 2048, 512, 400_000
 END_ID = 1
 #: A letter or digit and the marks after it, which the tokenizer takes apart.
 _MARKS = r"([\pL\pN])([.,!?*#&$%;:]+)"
@@ -99,7 +99,10 @@ class Chunks:
 
     def __call__(self, chunks: list[str]) -> np.ndarray:
         if self.known + len(chunks) > REMEMBER:
-            self.clear()
+            # The first ones learned are mostly the frequent ones.
+            self.known = min(self.known, REMEMBER // 3)
+            self.used = int(self.start[self.known])
+            self.at = {c: i for c, i in self.at.items() if i < self.known}
         new = [c for c in chunks if c not in self.at]
         if new:
             self._learn(new)

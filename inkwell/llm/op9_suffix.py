@@ -53,6 +53,7 @@ CHUNK, RANGE = 2 << 20, 16 << 20
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 LAST = 2**63 - 1
 _M = np.uint64(0x9E3779B97F4A7C15)
+_UPPER = np.uint64(2**64 - 2**15)
 
 
 def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -69,17 +70,16 @@ def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def least_positions(rank: np.ndarray, width: int) -> np.ndarray:
-    """For each p the first position of the least rank in [p, p + width)."""
+    """For each p the first position of the least rank in [p, p + width); at most 2**15 ranks, compared by their upper bits."""
     n = len(rank) - width + 1
     if n <= 0:
         return np.zeros(0, np.int32)
-    at, have = np.arange(len(rank), dtype=np.int32), 1
+    key = (rank & _UPPER) | np.arange(len(rank), dtype=np.uint64)
+    have = 1
     while have * 2 <= width:
-        a, b = at[:-have], at[have:]
-        at = np.where(rank[b] < rank[a], b, a)
+        key = np.minimum(key[:-have], key[have:])
         have *= 2
-    a, b = at[:n], at[width - have : width - have + n]
-    return np.where(rank[b] < rank[a], b, a)
+    return (np.minimum(key[:n], key[width - have : width - have + n]) & ~_UPPER).astype(np.int32)
 
 
 def ranks_and_least(data: np.ndarray, half: int, width: int, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
