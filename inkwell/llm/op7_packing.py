@@ -53,9 +53,13 @@ class Chunks:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        # Loading takes as long as a few megabytes of text; a worker that lives on keeps it for its next task.
+        loaded = vars(tokenizers).setdefault("_inkwell_loaded", {})
+        if path not in loaded:
+            loaded[path] = tokenizers.Tokenizer.from_file(path)
+        self.tokenizer = loaded[path]
         # A special token between chunks keeps them apart, so many take one call.
         self.folds = self._same("The Quick BROWN Fox's", "the quick brown fox's")
         self.splits = self._same("one, two... three!! é% 4# a;b", "one , two ... three !! é % 4 # a ;b")
