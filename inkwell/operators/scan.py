@@ -21,21 +21,42 @@ def java(pattern: str, ignore_case: bool) -> str:
 
 
 PATTERNS = {code: (category, java(p, fold)) for category, code, p, fold in fixed.PATTERNS}
-#: A literal that any match of the pattern has, in lower case: a cheap test before the costly one.
-HINTS = {"private-key": ["private key"], "jwt": ["eyj"], "bearer-token": ["bearer"], "credential-connection-string": ["://"], "card-security-code": ["cv"]}
-
-
-def matches(line: Column, code: str) -> Column:
-    hit = line.rlike(PATTERNS[code][1])
-    for hint in HINTS.get(code, ()):
-        hit = F.lower(line).contains(hint) & hit
-    return hit
+#: Literals of which any match of the pattern holds one, case folded: a cheap test before the costly one.
+HINTS = {
+    "private-key": ("private key",),
+    "credential-connection-string": ("://",),
+    "jwt": ("eyj",),
+    "bearer-token": ("bearer",),
+    "known-secret-token": ("akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "sk_live_"),
+    "labelled-secret": ("passw", "key", "secret", "token"),
+    "labelled-recovery-material": ("seed", "recovery", "mnemonic"),
+    "labelled-high-risk-identifier": ("passport", "national", "residence", "tax", "social", "ssn", "cpr"),
+    "card-security-code": ("cvv", "cvc"),
+    "explicit-no-record-en": ("record", "notes", "minute", "noted", "down", "between us", "anyone", "wiki", "summary", "transcript"),
+    "explicit-no-record-ru": ("никому не говори", "между нами", "не записыва", "не заноси"),
+    "explicit-no-record-da": ("skriv ikke", "mellem os", "til nogen"),
+    "control-bypass": ("bypass", "evade", "circumvent", "disable"),
+    "prompt-injection": ("ignore", "disregard", "override"),
+    "exfiltration-instruction": ("upload", "send", "post", "paste", "forward"),
+}
+
+
+def folded(line: Column) -> Column:
+    """Lower case, with the letters that fold to i, s and k beyond it."""
+    return F.lower(F.translate(line, "\u0131\u0130\u017f\u212a", "iisk"))
+
+
+def matches(line: Column, fold: Column, code: str) -> Column:
+    hint = F.lit(False)
+    for h in HINTS[code]:
+        hint = hint | fold.contains(h)
+    return hint & line.rlike(PATTERNS[code][1])
 
 
 def has_card(line: Column) -> Column:
     """A run of 13 to 19 digits that passes Luhn."""
     found = F.regexp_extract_all(line, F.lit("(?U)" + fixed.PAN), F.lit(0))
-    return line.rlike(r"[0-9]") & F.exists(found, lambda c: F.call_function("luhn_check", F.regexp_replace(c, "[^0-9]", "")) & F.length(F.regexp_replace(c, "[^0-9]", "")).between(13, 19))
+    return line.rlike(r"[0-9](?:[ -]?[0-9]){12}") & F.exists(found, lambda c: F.call_function("luhn_check", F.regexp_replace(c, "[^0-9]", "")) & F.length(F.regexp_replace(c, "[^0-9]", "")).between(13, 19))
 
 
 def iban_valid(candidate: Column) -> Column:
@@ -52,7 +73,7 @@ def iban_valid(candidate: Column) -> Column:
 
 
 def has_iban(line: Column) -> Column:
-    return F.exists(F.regexp_extract_all(line, F.lit(java(fixed.IBAN, True)), F.lit(0)), iban_valid)
+    return line.rlike(r"[A-Za-z]{2}[0-9]{2}") & F.exists(F.regexp_extract_all(line, F.lit(java(fixed.IBAN, True)), F.lit(0)), iban_valid)
 
 
 def findings_of(lines: Column) -> Column:
@@ -61,18 +82,24 @@ def findings_of(lines: Column) -> Column:
     def found(category: str, code: str, n: Column) -> Column:
         return F.struct(F.lit(category).alias("category"), F.lit(code).alias("reason_code"), n.cast("int").alias("line"))
 
-    def of_line(line: Column, i: Column) -> Column:
-        tests = [F.when(matches(line, code), found(category, code, i + 1)) for code, (category, _) in PATTERNS.items()]
-        tests += [F.when(has_card(line), found("high-risk-identifier", "payment-card-pan", i + 1)), F.when(has_iban(line), found("high-risk-identifier", "iban", i + 1))]
+    def of_line(x: Column, i: Column) -> Column:
+        tests = [F.when(matches(x["line"], x["fold"], code), found(category, code, i + 1)) for code, (category, _) in PATTERNS.items()]
+        tests += [F.when(has_card(x["line"]), found("high-risk-identifier", "payment-card-pan", i + 1)), F.when(has_iban(x["line"]), found("high-risk-identifier", "iban", i + 1))]
         return F.array_compact(F.array(*tests))
 
-    single = F.flatten(F.transform(lines, of_line))
-    pairs = F.zip_with(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    with_fold = F.transform(lines, lambda line: F.struct(line.alias("line"), folded(line).alias("fold")))
+    single = F.flatten(F.transform(with_fold, of_line))
+    less = F.greatest(F.size(lines) - 1, F.lit(0))
+    both = F.zip_with(F.slice(lines, F.lit(1), less), F.slice(lines, F.lit(2), less), lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.concat(a, F.lit(" "), b).alias("line")))
+    both = F.transform(both, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["line"].alias("line"), folded(x["line"]).alias("fold")))
 
     def of_pair(x: Column, i: Column) -> Column:
         # Only where neither line matches alone.
-        return F.array_compact(F.array(*[F.when(matches(F.concat(x["a"], F.lit(" "), x["b"]), c) & ~matches(x["a"], c) & ~matches(x["b"], c), found(PATTERNS[c][0], c, i + 1)) for c in fixed.TWO_LINE_CODES]))
+        return F.array_compact(
+            F.array(*[F.when(matches(x["line"], x["fold"], c) & ~x["a"].rlike(PATTERNS[c][1]) & ~x["b"].rlike(PATTERNS[c][1]), found(PATTERNS[c][0], c, i + 1)) for c in fixed.TWO_LINE_CODES])
+        )
 
+    pairs = both
     return F.array_sort(F.array_distinct(F.concat(single, F.flatten(F.transform(pairs, of_pair)))))
 
 
@@ -99,7 +126,7 @@ def read_status(path: Column, content: Column) -> Column:
 def scan_files(files: DataFrame) -> DataFrame:
     """files(path, content binary) -> path, status, findings, source."""
     why = read_status(F.col("path"), F.col("content"))
-    rows = files.select("path", why.alias("why"), F.when(why.isNull(), F.decode("content", F.lit("UTF-8"))).alias("text"))
+    rows = files.select("path", why.alias("why"), F.when(why.isNull(), F.decode("content", "UTF-8")).alias("text"))
     return _records(rows)
 
 
@@ -116,7 +143,7 @@ def scan_stdin(docs: DataFrame) -> DataFrame:
 def _records(rows: DataFrame) -> DataFrame:
     # Normalisation is by line, after splitting; only it leaves the JVM.
     lines = text.nfkc_lines(text.split_lines(F.when(F.col("why").isNull(), F.col("text")).otherwise("")))
-    rows = rows.withColumn("lines", lines).withColumn("findings", findings_of(F.col("lines")))
+    rows = text.once(rows.withColumn("lines", lines), findings=findings_of(F.col("lines")))
     status = F.coalesce("why", F.when(F.size("findings") > 0, "blocked").otherwise("pass"))
     return rows.select("path", status.alias("status"), "findings", F.when(F.col("why").isNull(), source_binding(F.col("text"))).alias("source"))
 

@@ -168,12 +168,12 @@ def fl05_invalid_date(spark, sf_dir):
     return lint.invalid_date(derived.corpus(spark, sf_dir))
 
 
-@query(pages(f"SELECT path, CAST({_N_LINES} AS INTEGER) AS lines, 800 AS cap FROM page_facts WHERE {_N_LINES} > 800"))
+@query(pages(f"SELECT path, CAST({_N_LINES} AS INTEGER) AS lines, 40 AS cap FROM page_facts WHERE {_N_LINES} > 40"))
 def fl06_hard_cap_exceeded(spark, sf_dir):
     return lint.hard_cap_exceeded(derived.corpus(spark, sf_dir))
 
 
-@query(pages(f"SELECT path, CAST({_N_LINES} AS INTEGER) AS lines, 400 AS cap FROM page_facts WHERE {_N_LINES} > 400"))
+@query(pages(f"SELECT path, CAST({_N_LINES} AS INTEGER) AS lines, 25 AS cap FROM page_facts WHERE {_N_LINES} > 25"))
 def fl07_soft_cap_exceeded(spark, sf_dir):
     return lint.soft_cap_exceeded(derived.corpus(spark, sf_dir))
 

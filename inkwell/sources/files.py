@@ -74,7 +74,7 @@ def search_pages(files: DataFrame, families: Iterable[str] | None = None) -> Dat
     keep = (F.size(_parts(path)) > 1) & family.isin(*(families or fixed.PAGE_FAMILIES)) & name.endswith(".md") & ~name.isin(*fixed.SEARCH_EXCLUDED_NAMES) & _folders_ok(path)
     keep &= ~name.startswith("INDEX") & ~name.startswith("LOG")
     slug = F.regexp_replace(F.array_join(F.slice(_parts(path), F.lit(2), F.size(_parts(path))), "/"), r"\.md$", "")
-    return files.where(keep).select("path", family.alias("family"), slug.alias("slug"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.where(keep).select("path", family.alias("family"), slug.alias("slug"), F.decode("content", "UTF-8").alias("text"))
 
 
 def index_documents(files: DataFrame, index: dict | None = None) -> DataFrame:
