@@ -76,7 +76,7 @@ def test_findings(spark, tree):
     assert sorted((r["field"], r["value"]) for r in got["invalid_enum"]) == [("page_type", "bogus"), ("reliability", "great")]
     assert got["page_type_mismatches"] == [{"path": "entities/bad.md", "expected": "entity", "actual": "bogus"}]
     assert got["invalid_date"] == [{"path": "entities/bad.md", "field": "created", "value": "2025-02-30"}]
-    assert [(r["path"], r["target"], r["line"]) for r in got["broken_wikilinks"]] == [("entities/bad.md", "gone", 9)]
+    assert [(r["path"], r["target"], r["line"]) for r in got["broken_wikilinks"]] == [("entities/bad.md", "gone", 10)]
     assert got["broken_source_references"] == [{"path": "entities/unknown.md", "reference": "raw/none.md"}]
     assert got["duplicate_slugs"] == [{"slug": "ada", "paths": ["concepts/ada.md", "entities/ada.md"]}]
     assert got["frontmatter_leaked_into_body"] == [{"path": "concepts/ada.md", "line": 12}]
@@ -87,7 +87,7 @@ def test_findings(spark, tree):
     assert paths["stale_low_reliability"] == paths["stale_pending_review"] == paths["cold_pages"] == ["sources/old.md"]
     assert [r["matches"] for r in got["template_placeholders"] if r["path"] == "entities/bad.md"] == [["<Fill me>", "{{NAME}}"]]
     r = report.build(corpus(spark, tree(**more)))
-    assert report.exit_code(r) == 2 and "### broken_wikilinks\n- entities/bad.md:9 — " in report.as_text(r, "2026-01-01")
+    assert report.exit_code(r) == 2 and "### broken_wikilinks\n- entities/bad.md:10 — " in report.as_text(r, "2026-01-01")
     counts = {x.kind: x.n for x in lint.finding_counts(corpus(spark, tree(**more))).collect()}
     assert counts == {k: len(v) for k, v in got.items()}
 
