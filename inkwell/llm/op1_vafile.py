@@ -171,6 +171,9 @@ def top_k(table: DataFrame, query: str = "vec_id % 100 = 0", k: int = 10, scale:
     for p in parts[1:]:
         found = found.union(p)
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score").cast("decimal(20,0)")).alias("s"), "vec_id", "score"))), 1, k)
+    # In two steps, so that no group has the answers of all tasks at once.
+    found = found.withColumn("part", F.spark_partition_id() % 64).groupBy("query_id", "part").agg(best.alias("best"))
+    found = found.select("query_id", F.explode("best").alias("x")).select("query_id", "x.vec_id", "x.score")
     found = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("p", "x"))
     return found.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 

@@ -95,11 +95,12 @@ def _best_cut(odds: np.ndarray, y: np.ndarray) -> float:
 
 def train(rows: list[tuple[bytes, list[int | None]]], folds: int = FOLDS) -> dict:
     """The chain, from (text, labels in the chain's order)."""
-    sets = [words(t) for t, _ in rows]
-    count = Counter(w for s in sets for w in s)
+    # Words are made twice rather than held: the driver's memory is small.
+    count = Counter(w for t, _ in rows for w in words(t))
     index = {w: i for i, w in enumerate(sorted(w for w, n in count.items() if n >= MIN_ROWS))}
+    del count
     size = len(index)
-    coded = [np.array(sorted(index[w] for w in s if w in index), np.int64) for s in sets]
+    coded = [np.array(sorted(index[w] for w in words(t) if w in index), np.int64) for t, _ in rows]
     labels = np.array([[np.nan if v is None else v for v in y] for _, y in rows], float).reshape(len(rows), -1)
     extra = np.zeros((len(rows), 0))
     models, cuts = [], []
