@@ -242,20 +242,20 @@ def wn07_closing_line(spark, sf_dir):
 # ---- sorts and sets ----
 
 
-@query(pages("SELECT path FROM page_facts ORDER BY path LIMIT 50"))
-def so02_first_paths(spark, sf_dir):
-    return parsed(spark, sf_dir).select("path").orderBy("path").limit(50)
+@query(pages("SELECT path FROM page_facts ORDER BY path"))
+def so02_pages_by_path(spark, sf_dir):
+    return parsed(spark, sf_dir).select("path").orderBy("path")
 
 
-@query(f"WITH {_SEEDED} SELECT path, category, reason_code, line FROM seeded ORDER BY category, reason_code, line, path LIMIT 40")
-def so03_first_findings(spark, sf_dir):
+@query(f"WITH {_SEEDED} SELECT path, category, reason_code, line FROM seeded ORDER BY category, reason_code, line, path")
+def so03_findings_in_order(spark, sf_dir):
     found = scan.findings(scan.scan(derived.scan_docs(spark, sf_dir))).where("reason_code <> 'payment-card-pan'")
-    return found.orderBy("category", "reason_code", "line", "path").limit(40)
+    return found.orderBy("category", "reason_code", "line", "path")
 
 
-@query(f"SELECT * FROM ({_RULES}) ORDER BY block_id, rule, ledger_id LIMIT 20")
-def so04_first_ledger_errors(spark, sf_dir):
-    return ledger.validate(*derived.ledgers(spark, sf_dir)).orderBy("block_id", "rule", "ledger_id").limit(20)
+@query(f"SELECT * FROM ({_RULES}) ORDER BY block_id, rule, ledger_id")
+def so04_ledger_errors_in_order(spark, sf_dir):
+    return ledger.validate(*derived.ledgers(spark, sf_dir)).orderBy("block_id", "rule", "ledger_id")
 
 
 @query(f"WITH {_SEEDED} SELECT reason_code, path FROM (SELECT *, row_number() OVER (PARTITION BY reason_code ORDER BY path) AS n FROM seeded) WHERE n <= 10")
