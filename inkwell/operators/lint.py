@@ -7,7 +7,7 @@ result can be cached or written; every rule reads from it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -254,13 +254,19 @@ def page_summary(c: Corpus) -> DataFrame:
 
 
 def finding_counts(c: Corpus) -> DataFrame:
-    """severity, kind, position (as reports order kinds), n; kinds without findings are left out."""
-    out = None
+    """severity, kind, position (as reports order kinds), n; kinds without findings are left out.
+
+    Seventeen rules read the parsed pages, which are kept meanwhile; the result is one row of each kind.
+    """
+    kept = c.pages.persist()
+    c, out = replace(c, pages=kept), None
     for severity, kinds, order in (("error", ERRORS, fixed.ERROR_KINDS), ("warning", WARNINGS, fixed.WARNING_KINDS)):
         for kind, f in kinds.items():
             one = f(c).agg(F.count("*").alias("n")).select(F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), F.lit(order.index(kind)).alias("position"), "n")
             out = one if out is None else out.union(one)
-    return out.where("n > 0")
+    rows = out.where("n > 0").collect()
+    kept.unpersist()
+    return kept.sparkSession.createDataFrame(rows, out.schema)
 
 
 def occurrences_in_order(rows: DataFrame, by: str, order: list[str], keep: int) -> DataFrame:
