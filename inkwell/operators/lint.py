@@ -7,6 +7,7 @@ result can be cached or written; every rule reads from it.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -259,14 +260,14 @@ def finding_counts(c: Corpus) -> DataFrame:
     Seventeen rules read the parsed pages, which are kept meanwhile; the result is one row of each kind.
     """
     kept = c.pages.persist()
-    c, out = replace(c, pages=kept), None
-    for severity, kinds, order in (("error", ERRORS, fixed.ERROR_KINDS), ("warning", WARNINGS, fixed.WARNING_KINDS)):
-        for kind, f in kinds.items():
-            one = f(c).agg(F.count("*").alias("n")).select(F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), F.lit(order.index(kind)).alias("position"), "n")
-            out = one if out is None else out.union(one)
-    rows = out.where("n > 0").collect()
+    c = replace(c, pages=kept)
+    kinds = [("error", k, fixed.ERROR_KINDS.index(k), f) for k, f in ERRORS.items()] + [("warning", k, fixed.WARNING_KINDS.index(k), f) for k, f in WARNINGS.items()]
+    # A job for each kind, side by side: one union of them all takes longer to plan than to run.
+    with ThreadPoolExecutor(8) as pool:
+        counts = list(pool.map(lambda kind: kind[3](c).count(), kinds))
     kept.unpersist()
-    return kept.sparkSession.createDataFrame(rows, out.schema)
+    rows = [(s, k, p, n) for (s, k, p, _), n in zip(kinds, counts, strict=True) if n]
+    return kept.sparkSession.createDataFrame(rows, "severity string, kind string, position int, n long")
 
 
 def occurrences_in_order(rows: DataFrame, by: str, order: list[str], keep: int) -> DataFrame:
