@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, flat_words, read, slices
 
 #: Ids of a sequence, longest piece, and distinct chunks whose ids a worker remembers at most (beyond one slice's).
-SEQUENCE, PIECE, REMEMBER = 2048, 512, 400_000
+SEQUENCE, PIECE, REMEMBER = 2048, 512, 300_000
 END_ID = 1
 #: A letter or digit and the marks after it, which the tokenizer takes apart.
 _MARKS = r"([\pL\pN])([.,!?*#&$%;:]+)"
@@ -53,13 +53,9 @@ class Chunks:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tokenizers
+        from tokenizers import Tokenizer
 
-        # Loading takes as long as a few megabytes of text; a worker that lives on keeps it for its next task.
-        loaded = vars(tokenizers).setdefault("_inkwell_loaded", {})
-        if path not in loaded:
-            loaded[path] = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer = loaded[path]
+        self.tokenizer = Tokenizer.from_file(path)
         # A special token between chunks keeps them apart, so many take one call.
         self.folds = self._same("The Quick BROWN Fox's", "the quick brown fox's")
         self.splits = self._same("one, two... three!! é% 4# a;b", "one , two ... three !! é % 4 # a ;b")
@@ -107,10 +103,12 @@ class Chunks:
             self.known = min(self.known, REMEMBER // 3)
             self.used = int(self.start[self.known])
             self.at = {c: i for c, i in self.at.items() if i < self.known}
-        new = [c for c in chunks if c not in self.at]
+        found = list(map(self.at.get, chunks))
+        new = [c for c, i in zip(chunks, found, strict=True) if i is None]
         if new:
             self._learn(new)
-        return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+            found = [self.at[c] if i is None else i for c, i in zip(chunks, found, strict=True)]
+        return np.array(found, np.int64)
 
     def flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column's texts one after another, and each text's first."""
@@ -130,6 +128,16 @@ class Chunks:
         return self.ids[take], ends[offsets]
 
 
+def chunks_of(path: str) -> Chunks:
+    """A worker that lives on keeps the loaded tokenizer and the frequent chunks for its next task."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_inkwell_kept", {})
+    if path not in kept:
+        kept[path] = Chunks(path)
+    return kept[path]
+
+
 def _runs(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indexes start .. start + length of each run, one after another, and where each run begins, with the end."""
     ends = np.concatenate(([0], np.cumsum(length)))
@@ -138,7 +146,7 @@ def _runs(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _pieces(path: str, piece: int):
     def run(batches):
-        chunks = Chunks(path)
+        chunks = chunks_of(path)
         pid = TaskContext.get().partitionId()
         seen = np.zeros(piece + 1, np.int64)
         for batch in slices(batches, rows=1024, bytes_=2 << 20):
