@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,6 +81,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def lowest(df: DataFrame, n: int, key: str) -> DataFrame:
+    """The rows with the n lowest values of a narrow key: only keys are sorted, wide rows stay where they are."""
+    line = df.select(key).distinct().orderBy(key).limit(n).agg(F.max(key)).first()[0]
+    return df.limit(0) if line is None else df.where(F.col(key) <= line)
+
+
 def as_binary(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

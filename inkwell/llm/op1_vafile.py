@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, lowest, read
 
 SCALE, CELLS, SAMPLE = 1024, 64, 4096
 #: Vectors of a block, queries of a block, exact vectors read at once for a query.
@@ -56,7 +56,7 @@ def _floor(x):
 
 def _grid(rows: DataFrame) -> dict[int, np.ndarray]:
     """Of each vector length in the sample: CELLS - 1 grid lines for each component."""
-    some = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(SAMPLE).collect()
+    some = lowest(rows.select("v", F.xxhash64("vec_id").alias("h")), SAMPLE, "h").collect()
     by: dict[int, list] = {}
     for r in some:
         by.setdefault(len(r.v), []).append(r.v)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read, slices
+from .common import Scratch, lowest, read, slices
 
 #: Labelled rows that the text likelihoods are trained on, and the longest text among them.
 SAMPLE, LONGEST = 800, 20_000
@@ -72,10 +72,12 @@ def train(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
 
 
 def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """rows(text, declared): at most SAMPLE with a declared language, those with the lowest hashes."""
+    """rows(text, declared): at most SAMPLE texts with a declared language, those with the lowest hashes."""
     some = rows.where("declared is not null and text is not null").where(F.length("text") <= LONGEST)
-    some = some.select("text", "declared", F.xxhash64("text").alias("h")).orderBy("h", "text", "declared").limit(SAMPLE)
-    return train([(r.text, r.declared) for r in some.collect()])
+    some = lowest(some.select("text", "declared", F.xxhash64("text").alias("h")), SAMPLE, "h")
+    # Copies of a text count once, so the sample is bounded.
+    some = some.groupBy("h").agg(F.min(F.struct("text", "declared")).alias("x")).orderBy("h")
+    return train([(r.x.text, r.x.declared) for r in some.collect()])
 
 
 def _scored(model, columns: list[str]):
