@@ -69,7 +69,7 @@ def sc06_read_status(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.coalesce(scan.read_status(path, content), F.lit("read")).alias("why"))
 
 
-@query("SELECT 1 AS files")
+@query("SELECT CAST(1 AS BIGINT) AS files")
 def ag19_inbox_count(spark, sf_dir):
     from ..sources.files import inbox
 
