@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators import lint
 from ..operators.lint import Corpus
+from ..sources.tables import read as read_table
 
 TODAY = "2024-12-31"
 
@@ -49,7 +50,7 @@ link_facts AS (
 
 def register(spark: SparkSession, sf_dir: str, *tables: str) -> None:
     for t in tables:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        read_table(spark, f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
 def facts(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
@@ -111,7 +112,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
 
 def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
     return docs.select(F.col("doc_id").alias("doc"), F.col("lang").alias("family"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.array("source").alias("tags"), F.array().cast("array<string>").alias("headings"), F.col("text").alias("body"))
 
 
@@ -143,7 +144,7 @@ CATEGORY = {code: category for category, code, _, _ in fixed.PATTERNS} | {"iban"
 
 def scan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, text: documents with their seeded line at the end."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
     seed = F.element_at(F.array(*[F.lit(s) for s, _ in SEEDS]), (F.pmod("doc_id", F.lit(20)) + 1).cast("int"))
     return docs.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat("text", F.lit("\n"), seed).alias("text"))
 

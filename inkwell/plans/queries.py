@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import gate, ledger, lint, scan, search
+from ..sources.tables import read as read_table
 from . import derived
 from .derived import FACTS, LEDGER_FACTS, SEED_VALUES, TODAY
 
@@ -31,7 +32,7 @@ def pages(sql: str) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return read_table(spark, f"{sf_dir}/{table}.parquet")
 
 
 def joined(column: str, sep: str = ",") -> F.Column:
