@@ -7,8 +7,10 @@ they meet in training what they will meet in use.  Training takes at most
 ``SAMPLE`` labelled rows; every text is scored whole.
 
 A feature is a word (letters only, case folded for ASCII) or a word's beginning
-that at least ``MIN_ROWS`` training rows hold, or a band of a text statistic.  A category's
-cut is where out-of-fold F1 is highest.
+that at least ``MIN_ROWS`` training rows hold, or a band of a text statistic.  It
+counts by its smoothed log-odds ratio with the category, and a ridge holds it
+back; neither asks for a number of labelled rows.  A category's cut is where
+out-of-fold F1 is highest.
 
 Cases: null and empty texts have no words and get the probability of such.  A
 null label is left out of its category's training.  Labels repeated for one
@@ -30,8 +32,8 @@ from .common import as_binary, read, slices
 
 #: Labelled rows at most, fewest training rows with a word, folds, steps of training.
 SAMPLE, MIN_ROWS, FOLDS, STEPS = 5000, 3, 4, 150
-#: Least chi-square of a feature with a category for the model to use it.
-CHI = 60.0
+#: Rows added to each cell of a feature's two-by-two table with a category.
+ADDED = 0.5
 #: Bytes of the word beginnings that are features too, for inflected words.
 BEGINNINGS = (5, 7)
 
@@ -49,6 +51,12 @@ def words(text: bytes) -> set[bytes]:
     return {*own, *begun, *bands, b"3 %d" % n.bit_length()}
 
 
+def _evidence(held: np.ndarray, both: np.ndarray, n: int, pos: float) -> np.ndarray:
+    """Smoothed log-odds ratio, without its sign, of features with a category: ``held`` of n rows have the feature, ``both`` of the category's ``pos``."""
+    cells = [x + ADDED for x in (both, n - pos - (held - both), held - both, pos - both)]
+    return np.abs(np.log(cells[0] * cells[1] / (cells[2] * cells[3])))
+
+
 def _logistic(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
     """Weights (size + extra columns + intercept) by Adam on the class-balanced loss with a ridge."""
     if not len(rows) or y.min() == y.max():
@@ -57,23 +65,20 @@ def _logistic(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, size: in
         return w
     flat = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    # Only features that go with the category: chi-square of the two-by-two table.
-    n, pos = len(y), y.sum()
-    held, both = np.bincount(flat, minlength=size), np.bincount(flat, y[row], size)
-    spread = pos * (n - pos) * held * (n - held)
-    chi = n * (both * n - held * pos) ** 2 / np.where(spread > 0, spread, np.inf)
-    use = chi[flat] >= CHI
-    flat, row = flat[use], row[use]
+    # A feature counts by its evidence, so the ridge holds back those that hardly go with the category.
+    scale = _evidence(np.bincount(flat, minlength=size), np.bincount(flat, y[row], size), len(y), y.sum())
+    x = scale[flat]
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     w, a, b = (np.zeros(size + extra.shape[1] + 1) for _ in range(3))
     for step in range(1, STEPS + 1):
-        z = np.bincount(row, w[flat], len(rows)) + extra @ w[size:-1] + w[-1]
+        z = np.bincount(row, w[flat] * x, len(rows)) + extra @ w[size:-1] + w[-1]
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        g = np.concatenate([np.bincount(flat, d[row], size), extra.T @ d, [d.sum()]])
+        g = np.concatenate([np.bincount(flat, d[row] * x, size), extra.T @ d, [d.sum()]])
         g[:size] += 1e-3 * w[:size]
         a += 0.1 * (g - a)
         b += 0.01 * (g * g - b)
         w -= 0.3 * (1 - 0.9 * step / STEPS) * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+    w[:size] *= scale
     return w
 
 

@@ -37,3 +37,38 @@ def test_edges(spark):
 
 def test_words():
     assert {b"stupid", b"the"} < m.words(b"STUPID!! the***")
+
+
+def test_held_out_floors(spark):
+    """As test_held_out, with the floors of the operator's first form."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = m.fit(docs.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 0"), m.CHAIN)
+    out = m.score(docs.where("doc_id % 2 = 1"), model, ["low_quality", "toxic"]).join(labels, "doc_id").collect()
+    hit = sum(r.is_toxic and r.toxic == 1 for r in out)
+    said, there = sum(r.is_toxic for r in out), sum(r.toxic == 1 for r in out)
+    assert hit / said > 0.95 and hit / there > 0.9
+    assert np.mean([r.is_low_quality == (r.quality == 0) for r in out]) > 0.9
+
+
+def test_slurs_are_found_with_under_100_labelled_rows(spark, sf):
+    """Words that 87 labelled rows show in toxic ones only, in the texts of a larger table."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    assert docs.join(labels, "doc_id").count() < 100
+    model = m.fit(docs, labels, m.CHAIN)
+    far = "/root/testdata/sf0.1"
+    out = m.score(spark.read.parquet(f"{far}/documents.parquet"), model, ["low_quality", "toxic"])
+    rows = out.join(spark.read.parquet(f"{far}/documents.parquet").select("doc_id", "text"), "doc_id").join(spark.read.parquet(f"{far}/labels.parquet"), "doc_id").collect()
+    explicit = [r.is_toxic for r in rows if {b"scum", b"moron", b"loser", b"disgusting"} & m.words((r.text or "").encode())]
+    wrong = [r.is_toxic for r in rows if r.toxic == 0]
+    print(f"caught {np.mean(explicit):.3f} of {len(explicit)}, wrongly {np.mean(wrong):.3f} of {len(wrong)}")
+    assert len(explicit) > 100 and np.mean(explicit) > 0.8 and np.mean(wrong) < 0.05
+
+
+def test_features_do_not_ask_for_many_rows():
+    """Forty labelled rows, half of them with a word that the others don't have."""
+    r = np.random.default_rng(5)
+    rows = [(b"some plain words w%d v%d %s" % (r.integers(7), r.integers(5), [b"", b"scum"][y]), [0, y]) for y in r.permutation([0, 1] * 20).tolist()]
+    model = m.train(rows)
+    with_word, without = m.predict(model, [b"plain scum", b"plain words"])[:, 1]
+    assert with_word > model["cuts"][1] > without
