@@ -9,8 +9,10 @@ The posterior of a language given a page is proportional to
   x host prior, smoothed host <- domain <- all pages, counted over all pages.
 
 Counts are grouped sums of the posterior from text and declaration alone; a
-page's own part is taken out of what it is given.  Text likelihoods are trained
-on at most ``SAMPLE`` labelled rows; all counts cover all rows.
+page's own part is taken out of what it is given.  The languages are all that
+any row with a text declares, over all rows and without a least count; of each,
+text likelihoods are trained on a bounded number of texts (``SAMPLE`` shared
+evenly, or ``EACH`` where that is more).  All counts cover all rows.
 
 Cases: null or letterless text has no text evidence and is rejected.  Unknown,
 null or foreign declarations, hosts and suffixes give no evidence.  Rows without
@@ -28,13 +30,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, lowest, read, slices
+from .common import Scratch, read, slices
 
-#: Labelled rows that the text likelihoods are trained on, and the longest text among them.
-SAMPLE, LONGEST = 800, 20_000
+#: Labelled rows that the text likelihoods are trained on, fewest of each language that has so many, and the part of a text that is read.
+SAMPLE, EACH, LONGEST = 800, 50, 20_000
 BUCKETS = 1 << 14
 #: Trigrams' worth of evidence that a text of any length has at most.
 EVIDENCE = 60.0
@@ -72,12 +74,19 @@ def train(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
 
 
 def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """rows(text, declared): at most SAMPLE texts with a declared language, those with the lowest hashes."""
-    some = rows.where("declared is not null and text is not null").where(F.length("text") <= LONGEST)
-    some = lowest(some.select("text", "declared", F.xxhash64("text").alias("h")), SAMPLE, "h")
-    # Copies of a text count once, so the sample is bounded.
-    some = some.groupBy("h").agg(F.min(F.struct("text", "declared")).alias("x")).orderBy("h")
-    return train([(r.x.text, r.x.declared) for r in some.collect()])
+    """rows(text, declared): of every declared language, the texts with the lowest hashes."""
+    told = rows.where("declared is not null and text is not null").select("text", "declared", F.xxhash64("text").alias("h"))
+    # Only keys are ranked, and each task sends no more than SAMPLE of a language.
+    keys = told.select("declared", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("declared").orderBy("h")))
+    found = {r.declared: sorted(r.hs) for r in keys.where(F.col("n") <= SAMPLE).groupBy("declared").agg(F.collect_list("h").alias("hs")).collect()}
+    if not found:
+        return train([])
+    each = max(SAMPLE // len(found), EACH)
+    lines = rows.sparkSession.createDataFrame([(lang, hs[:each][-1]) for lang, hs in found.items()], "declared string, line long")
+    some = told.join(F.broadcast(lines), "declared").where("h <= line")
+    # Copies of a text count once in a language, so the sample is bounded.
+    some = some.groupBy("declared", "h").agg(F.min(F.left("text", F.lit(LONGEST))).alias("text")).orderBy("h", "declared")
+    return train([(r.text, r.declared) for r in some.collect()])
 
 
 def _scored(model, columns: list[str]):
@@ -96,11 +105,15 @@ def _scored(model, columns: list[str]):
     return run
 
 
-def _softmax(logs: list[Column]) -> Column:
-    """Array of probabilities."""
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    e = F.array(*[F.exp(x - top) for x in logs])
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+def _total(values: str) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, y: a + y)
+
+
+def _softmax(df: DataFrame, name: str, logs: list[Column]) -> DataFrame:
+    """df with an array of probabilities.  Each step is a column, so the plan grows with the number of languages and not with its powers."""
+    df = df.withColumn("__logs", F.array(*logs))
+    df = df.withColumn("__e", F.transform("__logs", lambda x: F.exp(x - F.array_max("__logs"))))
+    return df.withColumn(name, F.transform("__e", lambda x: x / _total("__e"))).drop("__logs", "__e")
 
 
 def identify(rows: DataFrame, model, keep: list[str]) -> DataFrame:
@@ -119,8 +132,8 @@ def identify(rows: DataFrame, model, keep: list[str]) -> DataFrame:
     def said(i: int) -> Column:
         return F.when(known, F.when(F.col("declared") == names[i], F.lit(right)).otherwise(F.lit(wrong))).otherwise(F.lit(0.0))
 
-    alone = _softmax([F.col("__ll")[i] + said(i) for i in range(k)])
-    scored = scored.withColumn("__p", F.when(F.col("__n") > 0, alone))
+    scored = _softmax(scored, "__p", [F.col("__ll")[i] + said(i) for i in range(k)])
+    scored = scored.withColumn("__p", F.when(F.col("__n") > 0, F.col("__p")))
     # Rows without a host match nothing; salting keeps them from meeting in one task.
     scored = scored.withColumn("__host", F.coalesce("host", F.concat(F.lit("\x00"), F.pmod(F.xxhash64("text"), F.lit(4096)).cast("string"))))
 
@@ -150,18 +163,14 @@ def identify(rows: DataFrame, model, keep: list[str]) -> DataFrame:
     def less(letter: str, i: int) -> Column:
         return F.greatest(F.lit(0.0), F.coalesce(F.col(f"{letter}s{i}"), F.lit(0.0)) - F.when(F.col(f"{letter}s{i}").isNotNull(), own[i]).otherwise(F.lit(0.0)))
 
-    def add(xs: list[Column]) -> Column:
-        total = xs[0]
-        for x in xs[1:]:
-            total = total + x
-        return total
-
-    h, d = ([less(x, i) for i in range(k)] for x in "hd")
-    domain = [(d[i] + SMOOTH * share[i]) / (add(d) + SMOOTH) for i in range(k)]
-    prior = [(h[i] + SMOOTH * domain[i]) / (add(h) + SMOOTH) for i in range(k)]
+    for x in "hd":
+        out = out.withColumn(f"__{x}", F.array(*[less(x, i) for i in range(k)]))
+    out = out.withColumn("__hs", _total("__h")).withColumn("__ds", _total("__d"))
+    domain = [(F.col("__d")[i] + SMOOTH * share[i]) / (F.col("__ds") + SMOOTH) for i in range(k)]
+    prior = [(F.col("__h")[i] + SMOOTH * domain[i]) / (F.col("__hs") + SMOOTH) for i in range(k)]
     suffix = [F.when(F.col("xs0").isNotNull(), F.log((less("x", i) + 1) / (F.lit(total[i]) + n_suffixes + 1))).otherwise(F.lit(0.0)) for i in range(k)]
     logs = [F.col("__ll")[i] + said(i) + suffix[i] + F.log(prior[i]) for i in range(k)]
-    out = out.withColumn("__q", _softmax(logs))
+    out = _softmax(out, "__q", logs)
     best = F.array_max(F.transform(F.arrays_zip(F.col("__q").alias("q"), F.array(*[F.lit(x) for x in names]).alias("l")), lambda x: F.struct(x["q"].alias("q"), x["l"].alias("l"))))
     out = out.withColumn("__best", F.when(F.col("__n") > 0, best))
     return out.select(*keep, F.col("__best.l").alias("language"), F.col("__best.q").alias("probability"), (F.coalesce(F.col("__best.q"), F.lit(0.0)) >= 0.5).alias("accepted"))

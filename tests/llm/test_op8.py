@@ -117,3 +117,33 @@ def test_documents_keep_their_columns(spark):
     docs = spark.createDataFrame([(1, "the house", "en", "s", "h1", 5), (2, None, "en", "s", None, 0), (3, "", None, None, "", 0)], "doc_id long, text string, lang string, source string, host string, h0 long")
     out = m.accepted_documents(docs)
     assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == [1]
+
+
+def test_a_rare_language_is_a_class(spark):
+    """A few pages of a language among 6,000 of another, none of them among the 800 lowest hashes."""
+    fi = "talo ja puutarha sekä yö jää mutta että työ "
+    rows = [(i, f"the house and of to with number {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]} {'ab' * (i // 1000)}", "en", None, None, None) for i in range(6000)]
+    rows += [(10_000 + i, fi * (i + 1), "fi", None, None, None) for i in range(12)] + [(20_000, fi, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, text string, declared string, host string, domain string, suffix string")
+    df = df.where("id < 10000 or id = 20000 or xxhash64(text) > 0")
+    assert df.where("declared = 'fi'").count() > 0
+    model = m.fit(df)
+    assert model[0] == ["en", "fi"]
+    assert {r.language for r in m.identify(df, model, ["id"]).where("id >= 10000").collect()} == {"fi"}
+
+
+def test_a_language_of_long_texts_only(spark):
+    rows = [("the house " * 3, "en"), ("talo ja puutarha " * 2000, "fi")]
+    assert m.fit(spark.createDataFrame(rows, "text string, declared string"))[0] == ["en", "fi"]
+
+
+def test_many_languages(spark):
+    """Sixty languages, against the dictionaries."""
+    r = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    model = m.train([(" ".join("".join(r.choice(letters, 4)) for _ in range(30)), f"l{i:02}") for i in range(60)])
+    rows = [(i, " ".join("".join(r.choice(letters, 4)) for _ in range(5)), f"l{i % 60:02}", f"h{i % 3}", f"h{i % 3}", None) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, text string, declared string, host string, domain string, suffix string")
+    got = sorted(m.identify(df, model, ["id"]).collect(), key=lambda r: r.id)
+    for g, w in zip(got, brute(model, [r[1:] for r in rows]), strict=True):
+        assert g.probability == pytest.approx(w.max(), abs=1e-9)
