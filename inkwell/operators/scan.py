@@ -14,6 +14,10 @@ from ..functions import fixed, text
 
 FINDING = "array<struct<category:string,reason_code:string,line:int>>"
 
+#: Words that a denylist can name, and the start of a home folder's path.
+TOKEN = r"[A-Za-z][A-Za-z0-9]{3,}"
+HOME_PATH = r"/Users/[A-Za-z]|/home/[A-Za-z]"
+
 
 def java(pattern: str, ignore_case: bool) -> str:
     """The pattern with Unicode classes and word borders that agree with them."""
@@ -183,6 +187,23 @@ def overall_status(records: DataFrame) -> DataFrame:
     return top.select(F.when(F.col("r") == 2, "blocked").when(F.col("r") == 1, "error").otherwise("pass").alias("status"), F.when(F.col("r") == 2, 2).when(F.col("r") == 1, 1).otherwise(0).alias("exit_code"))
 
 
+def token_digest(token: Column) -> Column:
+    """What a denylist holds instead of a token: the start of the hash of its lower-case form."""
+    return F.left(F.sha2(F.lower(token), 256), F.lit(16))
+
+
+def denied_tokens(docs: DataFrame, denied: DataFrame) -> DataFrame:
+    """docs(path, text), denied(digest) -> path, digest of each distinct token of the whole text that is denied; never the token."""
+    tokens = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), F.lower))
+    found = docs.select("path", F.explode(tokens).alias("token")).select("path", token_digest(F.col("token")).alias("digest"))
+    return found.join(F.broadcast(denied), "digest", "left_semi").select("path", "digest")
+
+
+def home_path(content: Column) -> Column:
+    """Whether a text holds the path of a user's home folder."""
+    return content.rlike(HOME_PATH)
+
+
 def visible_records(records: DataFrame, quiet: bool) -> DataFrame:
     """What a report shows: in quiet mode only blocked and error."""
     return records.where(F.col("status").isin("blocked", "error")) if quiet else records

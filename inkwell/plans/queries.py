@@ -396,6 +396,17 @@ def jn13_denied_tokens(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", digest.alias("digest")).join(F.broadcast(denied), "digest", "left_semi").select("doc_id", "digest")
 
 
+_DENIED = ("pathetic", "loser", "worthless", "licensed", "x" * 9)
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{scan.TOKEN}')) AS x FROM documents) SELECT DISTINCT doc_id, left(sha256(lower(x)), 16) AS digest FROM t WHERE left(sha256(lower(x)), 16) IN ({', '.join(f"left(sha256('{t}'), 16)" for t in _DENIED)})")
+def jn13_denied_text_tokens(spark, sf_dir):
+    """Denied tokens anywhere in the texts."""
+    denied = spark.createDataFrame([(t,) for t in _DENIED], "t string").select(scan.token_digest(F.col("t")).alias("digest"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    return scan.denied_tokens(docs, denied).select(F.col("path").alias("doc_id"), "digest").distinct()
+
+
 # ---- ledgers ----
 
 _GAPS = "SELECT *, coalesce(max(CASE WHEN last >= first THEN last + 1 END) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS expected FROM blocks"

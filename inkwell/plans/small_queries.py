@@ -164,6 +164,15 @@ def fl25_home_paths(spark, sf_dir):
     return docs(spark, sf_dir).where(line.rlike(r"(?:/home|/Users)/[^/\s]+/")).select("doc_id")
 
 
+_HOMES = ("", "see /home/alice", "see /homes/bob", "/Users/ana/x", "/home/1", "/home//x")
+
+
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text || chr(10) || {pick(*_HOMES)}, '{scan.HOME_PATH}')")
+def fl25_home_paths_in_text(spark, sf_dir):
+    """Texts that hold a home folder's path, with a line at their end that may."""
+    return docs(spark, sf_dir).where(scan.home_path(F.concat("text", F.lit("\n"), six()(*_HOMES)))).select("doc_id")
+
+
 # ---- joins, aggregates, windows ----
 
 

@@ -111,3 +111,16 @@ def test_overall_status(spark):
     assert of("pass", "skipped") == ("pass", 0) and of("error", "pass") == ("error", 1) and of("error", "blocked") == ("blocked", 2) and of("skipped") == ("pass", 0)
     df = spark.createDataFrame([("a", "pass"), ("b", "blocked")], "path string, status string")
     assert [r.path for r in scan.visible_records(df, True).collect()] == ["b"]
+
+
+def test_denied_tokens_of_whole_texts(spark):
+    rows = [("a", "One line.\nSecretName, secretname and SECRETNAME-2 at length"), ("b", "xsecretname secretnam"), ("c", None), ("d", "abc ünknown9 it's 1token9")]
+    denied = [hashlib.sha256(t.encode()).hexdigest()[:16] for t in ("secretname", "token9", "nknown9", "abc")]
+    got = scan.denied_tokens(spark.createDataFrame(rows, "path string, text string"), spark.createDataFrame([(d,) for d in denied], "digest string")).collect()
+    want = {(p, d) for p, t in rows for w in re.findall(r"[A-Za-z][A-Za-z0-9]{3,}", t or "") if (d := hashlib.sha256(w.lower().encode()).hexdigest()[:16]) in denied}
+    assert sorted(map(tuple, got)) == sorted(want) and {p for p, _ in want} == {"a", "d"}
+
+
+def test_home_paths_in_texts(spark):
+    rows = [("/home/alice",), ("a\nb /home/alice\nc",), ("/Users/B",), ("/home/1",), ("/homes/x/y",), (None,), ("/home//x",)]
+    assert [r.x for r in spark.createDataFrame(rows, "t string").select(scan.home_path(F.col("t")).alias("x")).collect()] == [True, True, True, False, False, None, False]
