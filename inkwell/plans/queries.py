@@ -376,6 +376,17 @@ def jn07_kept_findings(spark, sf_dir):
     return scan.findings(out).where("reason_code <> 'payment-card-pan'")
 
 
+@query()
+def jn07_allowed_findings_with_cards(spark, sf_dir):
+    out = scan.apply_allowlist(scan.scan(derived.scan_docs(spark, sf_dir)), _allowlist(spark, sf_dir))
+    return out.select("path", F.inline("allowed"))
+
+
+@query()
+def jn07_kept_findings_with_cards(spark, sf_dir):
+    return scan.findings(scan.apply_allowlist(scan.scan(derived.scan_docs(spark, sf_dir)), _allowlist(spark, sf_dir)))
+
+
 @query("SELECT 'blocked' AS status, 2 AS exit_code")
 def ag13_overall_status(spark, sf_dir):
     return scan.overall_status(scan.scan(derived.scan_docs(spark, sf_dir)))

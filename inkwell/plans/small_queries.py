@@ -210,6 +210,12 @@ def ag14_distinct_findings(spark, sf_dir):
     return found.groupBy("category", "reason_code").agg(F.count("*").alias("n"))
 
 
+@query()
+def ag14_distinct_findings_with_cards(spark, sf_dir):
+    found = scan.findings(scan.scan(derived.scan_docs(spark, sf_dir))).distinct()
+    return found.groupBy("category", "reason_code").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT rule, count(*) AS n FROM ({_RULES}) GROUP BY rule")
 def ag15_ledger_errors_by_rule(spark, sf_dir):
     return ledger.validate(*derived.ledgers(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("n"))
@@ -262,6 +268,11 @@ def so03_findings_in_order(spark, sf_dir):
     return found.orderBy("category", "reason_code", "line", "path")
 
 
+@query()
+def so03_findings_in_order_with_cards(spark, sf_dir):
+    return scan.findings(scan.scan(derived.scan_docs(spark, sf_dir))).orderBy("category", "reason_code", "line", "path")
+
+
 @query(f"SELECT * FROM ({_RULES}) ORDER BY block_id, rule, ledger_id")
 def so04_ledger_errors_in_order(spark, sf_dir):
     return ledger.validate(*derived.ledgers(spark, sf_dir)).orderBy("block_id", "rule", "ledger_id")
@@ -273,6 +284,12 @@ def so05_ten_of_each(spark, sf_dir):
     return lint.occurrences_in_order(found, "reason_code", ["path"], fixed.REPORTED_FINDINGS).select("reason_code", "path")
 
 
+@query()
+def so05_ten_of_each_with_cards(spark, sf_dir):
+    found = scan.findings(scan.scan(derived.scan_docs(spark, sf_dir)))
+    return lint.occurrences_in_order(found, "reason_code", ["path"], fixed.REPORTED_FINDINGS).select("reason_code", "path")
+
+
 @query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}')" for i, k in enumerate((*fixed.ERROR_KINDS, *fixed.WARNING_KINDS))) + ") AS k(position, kind)")
 def so06_kinds_in_order(spark, sf_dir):
     return spark.createDataFrame(list(enumerate((*fixed.ERROR_KINDS, *fixed.WARNING_KINDS))), "position int, kind string")

@@ -124,3 +124,26 @@ def test_denied_tokens_of_whole_texts(spark):
 def test_home_paths_in_texts(spark):
     rows = [("/home/alice",), ("a\nb /home/alice\nc",), ("/Users/B",), ("/home/1",), ("/homes/x/y",), (None,), ("/home//x",)]
     assert [r.x for r in spark.createDataFrame(rows, "t string").select(scan.home_path(F.col("t")).alias("x")).collect()] == [True, True, True, False, False, None, False]
+
+
+def test_queries_with_cards(spark):
+    """Allowlists, order, counts and report of all findings, card numbers too, against Python's expressions."""
+    from inkwell.plans import queries, small_queries  # noqa: F401
+
+    sf = "/root/testdata/sf0.01"
+    got = {n: [tuple(r) for r in queries.QUERIES[n](spark, sf).collect()] for n in queries.QUERIES if n.endswith("_with_cards")}
+    found, allowed = [], []
+    for r in derived.scan_docs(spark, sf).collect():
+        h = int(re.search("[0-9]+", r.path)[0])
+        seed = derived.SEEDS[h % 20][1]
+        for x in model(r.text):
+            found.append((r.path, *x))
+            if seed and h % 3 == 0 and x[1] in (seed, "payment-card-pan"):
+                allowed.append(found[-1])
+    assert {x[2] for x in allowed} >= {"payment-card-pan"} and {x[2] for x in set(found) - set(allowed)} >= {"payment-card-pan"}
+    assert sorted(got["jn07_allowed_findings_with_cards"]) == sorted(allowed)
+    assert sorted(got["jn07_kept_findings_with_cards"]) == sorted(set(found) - set(allowed))
+    assert got["so03_findings_in_order_with_cards"] == sorted(found, key=lambda x: (*x[1:], x[0]))
+    codes = sorted({x[2] for x in found})
+    assert sorted(got["ag14_distinct_findings_with_cards"]) == sorted((c, k, sum(x[1:3] == (c, k) for x in found)) for c, k in {x[1:3] for x in found})
+    assert sorted(got["so05_ten_of_each_with_cards"]) == sorted((k, p) for k in codes for p in sorted(x[0] for x in found if x[2] == k)[: fixed.REPORTED_FINDINGS])
