@@ -4,9 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs.  All but the last return
 the columns of ``documents``.
 
-Cases: null and empty texts go with language identification.  Rows repeated
-with one doc_id are one document for the near-duplicate stage.  Extra columns
-are kept until packing.
+Cases: null and empty texts go with language identification.  The near-duplicate
+stage judges each row by its own text: rows with null ids are copies of each
+other as any, rows with one id and one text are one document, and different
+texts with one id stay unless they are near copies.  Extra columns are kept
+until packing.
 """
 
 from __future__ import annotations
@@ -28,20 +30,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
+    """One row of each near-duplicate group: the one with the smallest doc_id, null last."""
     scratch = Scratch(spark, "dedup")
-    found = scratch.cut(near_duplicates(docs).select("doc_id", "kept"))
-    dropped = found.where("not kept").select("doc_id").distinct()
+    found = scratch.cut(near_duplicates(docs, by_row=True).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "n_shingles", "kept"))
+    left = docs.withColumn("__t", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th"))
+    dropped = found.where("not kept").select("__id", "__th").distinct()
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    # Rows that repeat a kept id, if there are any.
-    again = scratch.cut(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    left = left.join(dropped, same, "left_anti")
+    # Rows that repeat a kept one, if there are any; texts without words are no copies of each other.
+    again = found.where("kept and (__id is not null or n_shingles > 0)").groupBy("__id", "__th").count().where("count > 1").select("__id", "__th")
+    again = scratch.cut(again)
     if again.isEmpty():
-        return left
-    once = Window.partitionBy("doc_id").orderBy("text")
-    one = left.join(again, "doc_id", "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(one.select(*docs.columns))
+        return left.select(*docs.columns)
+    once = Window.partitionBy("doc_id", "__t").orderBy("text")
+    one = left.join(again, same, "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1")
+    return left.join(again, same, "left_anti").select(*docs.columns).union(one.select(*docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

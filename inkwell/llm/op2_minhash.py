@@ -244,8 +244,12 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(labels.union(e.select(F.col("v").alias("u"), F.col("v").alias("label"))).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row per row of docs."""
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, by_row: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row per row of docs.
+
+    ``by_row`` adds th, the text's hash, and kept is then true for one (doc_id, th) of each component: the smallest id (null is
+    last) and of its texts the smallest hash.  So null and reused ids are judged by their own text.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -295,12 +299,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         labels = connected_components(edges.union(more), scratch)
 
     scratch.drop(members, wanted, full, like, named, open_)
-    nodes = first.select("node", "rep_id").join(labels, F.col("node") == F.col("u")).select("node", "label", "rep_id")
-    smallest = nodes.groupBy("label").agg(F.min("rep_id").alias("c"))
-    linked = nodes.join(smallest, "label").select(F.col("node").alias("l_node"), "c")
-    smallest_of_set = first.select(F.col("node").alias("s_node"), "rep_id").join(linked, F.col("s_node") == F.col("l_node"), "left")
+    nodes = first.join(labels, F.col("node") == F.col("u")).select("node", "label", "rep_id", "rep_th")
+    smallest = nodes.groupBy("label").agg(F.min("rep_id").alias("c"), F.min(F.struct(F.col("rep_id").isNull(), "rep_id", "rep_th"))["rep_th"].alias("c_th"))
+    linked = nodes.join(smallest, "label").select(F.col("node").alias("l_node"), "c", "c_th")
+    smallest_of_set = first.select(F.col("node").alias("s_node"), "rep_id", "rep_th").join(linked, F.col("s_node") == F.col("l_node"), "left")
     # Equal sets are one component, but empty ones aren't linked.
-    named = scratch.cut(smallest_of_set.select("s_node", F.when(F.col("l_node").isNull(), F.col("rep_id")).otherwise(F.col("c")).alias("c")))
+    of = [F.when(F.col("l_node").isNull(), F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("rep_id", "c"), ("rep_th", "c_th"))]
+    named = scratch.cut(smallest_of_set.select("s_node", *of[: 2 if by_row else 1]))
+    if by_row:
+        out = signed.join(named, F.col("node") == F.col("s_node"))
+        empty = F.col("n_shingles") == 0
+        kept = empty | (F.col("doc_id").eqNullSafe(F.col("c")) & (F.col("th") == F.col("c_th")))
+        return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("c")).alias("component_id"), kept.alias("kept"), "th")
     out = signed.select("doc_id", "n_shingles", "node").join(named, F.col("node") == F.col("s_node"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -116,3 +116,15 @@ def test_empty(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert p.run(spark, str(tmp_path)).collect() == []
     assert op4_pii.KINDS and op10_mixing.CELLS
+
+
+def test_null_and_reused_ids(spark):
+    """Each row is judged by its own text; of a group one row stays, with the smallest id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (5, a + " more"), (5, b), (None, b + " more"), (None, c), (None, c), (None, c + " more"), (7, d), (7, d + " more"), (7, d), (8, "one text of id eight"), (8, "and quite another one"), (9, ""), (None, ""), (None, "")]
+    out = p.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    got = Counter((r.doc_id, r.text) for r in out)
+    sevens, nulls = [x for x in got.elements() if x[0] == 7], [x for x in got.elements() if x[0] is None and x[1]]
+    assert len(sevens) == 1 and sevens[0][1] in (d, d + " more")
+    assert len(nulls) == 1 and nulls[0][1] in (c, c + " more")
+    assert got == Counter([(1, a), (5, b), *sevens, *nulls, (8, "one text of id eight"), (8, "and quite another one"), (9, ""), (None, ""), (None, "")])
