@@ -21,11 +21,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (tests, one machine) a temporary folder
-    is made and set for the rest of the session.
+    Only where that setting is absent on one machine (a local master, as in
+    tests) a temporary folder is made and set for the rest of the session; on a
+    cluster its absence is an error, as executors would write to their own disks.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="inkwell-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -81,6 +84,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores after it as keep it apart from the taken ones (columns are told apart without case)."""
+    have, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def lowest(df: DataFrame, n: int, key: str) -> DataFrame:
     """The rows with the n lowest values of a narrow key: only keys are sorted, wide rows stay where they are."""
     line = df.select(key).distinct().orderBy(key).limit(n).agg(F.max(key)).first()[0]
