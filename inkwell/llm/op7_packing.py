@@ -12,7 +12,8 @@ partition numbers its own pieces of each length as it writes them, and
 per-partition counts are summed up to offsets.
 
 Distinct white-space-free chunks, parted from trailing marks, are tokenised
-once and remembered; the tokenizer's patterns never cross these borders.
+once and remembered.  Borders are only drawn where the tokenizer's normal form
+of both sides and its patterns cannot reach across.
 
 Cases: null text is empty and has the end id alone.  Repeated rows are each
 packed.  Empty tables give empty results.  Very long texts give many pieces.
@@ -36,8 +37,11 @@ from .common import Scratch, flat_words, read, slices
 #: Ids of a sequence, longest piece, and distinct chunks whose ids a worker remembers at most (beyond one slice's).
 SEQUENCE, PIECE, REMEMBER = 2048, 512, 300_000
 END_ID = 1
-#: A letter or digit and the marks after it, which the tokenizer takes apart.
-_MARKS = r"([\pL\pN])([.,!?*#&$%;:]+)"
+#: A letter or digit and the marks after it, which the tokenizer takes apart.  Only letters that are one letter in lower case
+#: too, by any Unicode table: the lower case of U+0130 ends in a combining mark, which goes with the marks after it.
+_MARKS = r"([A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([.,!?*#&$%;:]+)"
+#: Capitals whose lower case, but not themselves, may join with a combining mark to one character.
+_JOINED = r"[A-Z]\pM"
 
 
 def default_tokenizer() -> str:
@@ -139,8 +143,8 @@ class Chunks:
 
     def flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column's texts one after another, and each text's first."""
-        # Capitals are folded by the tokenizer anyhow, but would make a special token of "<|X|>".
-        lower = self.folds and not pc.any(pc.match_substring(column, "<|"), min_count=0).as_py()
+        # Capitals are folded by the tokenizer anyhow, but only after it has joined combining marks; and folding would make a special token of "<|X|>".
+        lower = self.folds and not any(pc.any(x, min_count=0).as_py() for x in (pc.match_substring(column, "<|"), pc.match_substring_regex(column, _JOINED)))
         offsets, idx, names = flat_words(column, lower=lower)
         if not len(idx):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
