@@ -11,7 +11,7 @@ The lexicon's size has a proven bound, whatever the corpus: a term of the band
 is in at least ``LOW`` of all documents, so there are at most (mean distinct
 terms of a document) / LOW of them, 8 bytes each.  It goes to all tasks.
 
-Likeness of two fingerprints: 1 if equal; else, of the subsets of a level that
+Likeness of two fingerprints: 1 if equal (by the whole hash of 64 bits, and all subsets' hashes of 24); else, of the subsets of a level that
 are not empty in both, the share with equal hashes, for the level where it is
 highest (levels with fewer than ``FEW`` such subsets count as having FEW).
 
@@ -41,8 +41,8 @@ from .common import Scratch, as_binary, mix, read, slices
 #: The band of document frequencies, as shares of all documents.
 LOW, HIGH = 0.001, 0.1
 LEVELS, EACH, FEW = 9, 8, 4
-#: Hex digits of a subset's hash, and terms that a worker holds before it passes counts on.
-DIGITS, HELD = 6, 1_000_000
+#: Hex digits of the whole lexicon's hash, which equality rests on, and of a subset's; terms that a worker holds before it passes counts on.
+WHOLE, DIGITS, HELD = 16, 6, 1_000_000
 
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
@@ -117,7 +117,7 @@ class Fingerprints:
         else:
             band = h[:0]
         digest = xxhash.xxh3_64_hexdigest
-        out = [digest((band if len(band) else h).tobytes(), seed=len(band) > 0)[:DIGITS]]
+        out = [digest((band if len(band) else h).tobytes(), seed=len(band) > 0)[:WHOLE]]
         if not len(band):
             return out + [none] * len(self.seeds)
         chosen = mix(band[:, None] ^ self.seeds[None, :]) < self.below[None, :]
