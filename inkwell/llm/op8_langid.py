@@ -42,8 +42,8 @@ BUCKETS = 1 << 14
 EVIDENCE = 60.0
 #: Probability that a declaration is right; weight of the wider level in a host prior.
 DECLARED, SMOOTH = 0.9, 4.0
-#: Hosts up to which their counts are broadcast; beyond, a shuffle join is used.
-BROADCAST_ROWS = 100_000
+#: Hosts up to which their counts are broadcast; beyond, a shuffle join is used, but for hosts with over one in HOT of all rows.
+BROADCAST_ROWS, HOT = 100_000, 1000
 
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
@@ -116,6 +116,21 @@ def _softmax(df: DataFrame, name: str, logs: list[Column]) -> DataFrame:
     return df.withColumn(name, F.transform("__e", lambda x: x / _total("__e"))).drop("__logs", "__e")
 
 
+def _with_host(rows: DataFrame, table: DataFrame, total: float) -> DataFrame:
+    """rows with the counts of their ``__host``, if it has any."""
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), "__host", "left")
+    counts = [c for c in table.columns if c != "__host"]
+    host = table.select("__host", F.struct(*counts).alias("__of"), (sum(F.col(c) for c in counts if c.startswith("h")) * HOT > total).alias("__hot"))
+    # Fewer than HOT rows: each has more than one in HOT of all.
+    hot = F.broadcast(host.where("__hot").select("__host", F.col("__of").alias("__hot")))
+    cold = host.where("not __hot").select(F.col("__host").alias("__key"), "__of")
+    salt = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("text"), F.lit(4096)).cast("string"))
+    rows = rows.join(hot, "__host", "left").withColumn("__key", F.when(F.col("__hot").isNull(), F.col("__host")).otherwise(salt))
+    rows = rows.join(cold, "__key", "left").withColumn("__of", F.coalesce("__hot", "__of"))
+    return rows.select("*", *[F.col("__of").getField(c).alias(c) for c in counts]).drop("__key", "__hot", "__of")
+
+
 def identify(rows: DataFrame, model, keep: list[str]) -> DataFrame:
     """rows(text, declared, host, domain, suffix, ...) -> the columns ``keep``, language, probability, accepted."""
     names, _ = model
@@ -156,8 +171,7 @@ def identify(rows: DataFrame, model, keep: list[str]) -> DataFrame:
     # A null domain or suffix joins nothing and is no evidence.
     table = scratch.cut(table.drop("domain", "suffix").withColumnRenamed("host", "__host"))
     # One row of each host: a host has one domain and one suffix.
-    side = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-    out = scored.join(side, "__host", "left")
+    out = _with_host(scored, table, sum(total))
     own = [F.when(F.col("__n") > 0, F.col("__p")[i]).otherwise(F.lit(0.0)) for i in range(k)]
 
     def less(letter: str, i: int) -> Column:
@@ -176,9 +190,55 @@ def identify(rows: DataFrame, model, keep: list[str]) -> DataFrame:
     return out.select(*keep, F.col("__best.l").alias("language"), F.col("__best.q").alias("probability"), (F.coalesce(F.col("__best.q"), F.lit(0.0)) >= 0.5).alias("accepted"))
 
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style|nav|footer)\b.*?</\1\s*>", re.S | re.I)
-_TAG = re.compile(r"<[^>]*>")
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+#: Elements whose content is not text of the page, what ends them, comments and tags.
+_UNSEEN = re.compile(r"<(script|style|nav|footer)\b", re.I)
+_ENDS = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "nav", "footer")} | {"!--": re.compile("-->"), "": re.compile(">")}
+_HTML = re.compile(r"<html\b", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+_LONG_NUMBER = re.compile(r"&#[0-9]{20,};?")
+
+
+def visible_text(page: str) -> str:
+    """The page without comments, tags and unseen elements, each a blank, and with entities resolved.
+
+    One scan forward: an end that was looked for is kept, and what has no end
+    further on is not looked for again, so any page takes linear time.  A
+    comment or element that never ends is a tag; a tag that never ends is text.
+    """
+    out: list[str] = []
+    at, ends = 0, {}
+
+    def end_of(kind: str, start: int) -> int:
+        if kind not in ends or 0 <= ends[kind][0] < start:
+            found = _ENDS[kind].search(page, start)
+            ends[kind] = found.span() if found else (-1, -1)
+        return ends[kind][1]
+
+    while (tag := page.find("<", at)) >= 0:
+        unseen = _UNSEEN.match(page, tag)
+        end = end_of("!--", tag + 4) if page.startswith("<!--", tag) else end_of(unseen[1].lower(), tag) if unseen else -1
+        if end < 0:
+            end = end_of("", tag)
+        if end < 0:
+            break
+        out += (page[at:tag], " ")
+        at = end
+    out.append(page[at:])
+    # Numbers beyond any character are one replacement character, however long.
+    return html.unescape(_LONG_NUMBER.sub("\ufffd", "".join(out)))
+
+
+def declared_language(page: str) -> str | None:
+    """What the first html tag that has a lang attribute says, lower case."""
+    at = 0
+    while tag := _HTML.search(page, at):
+        end = page.find(">", tag.end())
+        end = len(page) if end < 0 else end
+        said = _LANG.search(page, tag.end(), end)
+        if said:
+            return said[1].lower()
+        at = end
+    return None
 
 
 def _parsed(batches):
@@ -187,11 +247,10 @@ def _parsed(batches):
         cols: list[list] = [[], [], [], [], []]
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             page = page or ""
-            said = _LANG.search(page)
             host = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url or "")
             host = host[1].lower() if host else None
             labels = host.split(".") if host else []
-            row = (html.unescape(_TAG.sub(" ", _DROP.sub(" ", page))), said and said[1].lower(), host, ".".join(labels[-2:]) if labels else None, labels[-1] if len(labels) > 1 else None)
+            row = (visible_text(page), declared_language(page), host, ".".join(labels[-2:]) if labels else None, labels[-1] if len(labels) > 1 else None)
             for c, x in zip(cols, row, strict=True):
                 c.append(x)
         yield pa.record_batch([batch.column("page_id"), *[pa.array(c, pa.string()) for c in cols]], names=["page_id", "text", "declared", "host", "domain", "suffix"])

@@ -1,3 +1,7 @@
+import re
+import html
+import random
+import time
 import math
 
 import numpy as np
@@ -147,3 +151,45 @@ def test_many_languages(spark):
     got = sorted(m.identify(df, model, ["id"]).collect(), key=lambda r: r.id)
     for g, w in zip(got, brute(model, [r[1:] for r in rows]), strict=True):
         assert g.probability == pytest.approx(w.max(), abs=1e-9)
+
+
+def test_hot_hosts_beyond_the_broadcast_bound(spark, model, monkeypatch):
+    rows = [(i, f"the house and the garden {i}" if i % 3 else "das haus und der garten", ["en", "de", None][i % 3], "hot.org" if i % 2 else f"h{i % 40}.de", None, "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, text string, declared string, host string, domain string, suffix string")
+    df = df.withColumn("domain", m.F.col("host"))
+    want = sorted(map(tuple, m.identify(df, model, ["page_id", "host"]).collect()), key=str)
+    monkeypatch.setattr(m, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(m, "HOT", 10)
+    got = sorted(map(tuple, m.identify(df, model, ["page_id", "host"]).collect()), key=str)
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want, strict=True))
+
+
+def plain_text(page: str) -> str:
+    """What the scan gives, by regular expressions that may take quadratic time."""
+    out, at = [], 0
+    while m_ := re.compile(r"<!--.*?-->|<(script|style|nav|footer)\b.*?</\1\s*>|<[^>]*>", re.S | re.I).search(page, at):
+        out += [page[at : m_.start()], " "]
+        at = m_.end()
+    return html.unescape("".join(out) + page[at:])
+
+
+def test_pages_are_scanned_as_plainly_read():
+    r = random.Random(4)
+    parts = ["<", ">", "<!--", "-->", "<nav>", "</nav>", "<NAV x>", "</nav >", "<script>", "</script>", "<b>", "text", " ", "&amp;", "&#65;", "<navy>", "<html lang=de>", "\n", "-", "é"]
+    for _ in range(20_000):
+        page = "".join(r.choices(parts, k=r.randint(0, 14)))
+        assert m.visible_text(page) == plain_text(page), page
+    assert m.visible_text("a&#" + "9" * 6000 + ";b") == "a\ufffdb"
+    assert m.declared_language("<p lang=fr><HTML class=x lang = 'DE-at'>") == "de"
+    assert m.declared_language("<html><html lang=en") == "en"
+    assert m.declared_language("<html class=a>lang=en") is None
+
+
+def test_pages_take_linear_time():
+    start = time.process_time()
+    for part in ("<!--", "<html ", "<nav>", "<", "</nav ", "<html lang", "&#", "<script></nav>", "<!-- > "):
+        page = part * ((1 << 20) // len(part))
+        m.visible_text(page)
+        m.declared_language(page)
+    assert time.process_time() - start < 20
