@@ -9,9 +9,10 @@ distances: in lower-bound order until the k-th is certain).  Results are exact.
 
 Grid lines are quantiles of at most ``SAMPLE`` vectors and only affect speed:
 outer cells end at the block's own extremes, so bounds hold for any data.
-Queries go in blocks of at most ``QUERIES``, each block sent to all tasks (its
-size is bounded); each task answers with at most k rows for each query and its
-blocks of vectors, and a grouped top-k joins the answers.
+Queries are a table, dealt into groups of some ``GROUP``, and the file into
+parts of some ``PART`` vectors.  Each group meets each part in one task, which
+is bounded both ways and answers with at most k rows for each query; a grouped
+top-k joins the answers.  Nothing but the grid comes to the driver.
 
 Scores are inner products of floor(1024 * component).  They are exact while
 they fit in 64 bits; beyond, they stop at the limits of a long.
@@ -34,8 +35,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, lowest, read
 
 SCALE, CELLS, SAMPLE = 1024, 64, 4096
-#: Vectors of a block, queries of a block, exact vectors read at once for a query.
-BLOCK, QUERIES, READ = 2048, 4096, 32
+#: Vectors of a block, queries compared at once, exact vectors read at once for a query.
+BLOCK, QUERIES, READ = 2048, 2048, 32
+#: Queries of a group and vectors of a part of the file, which meet in one task.
+GROUP, PART = 1 << 14, 1 << 13
 #: Largest absolute sum up to which float64 arithmetic on integers is exact.
 EXACT = 2.0**53
 
@@ -100,50 +103,64 @@ def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray | list[int]:
     return [max(-(2**63), min(2**63 - 1, sum(a * int(b) for a, b in zip(whole, row, strict=True)))) for row in v.tolist()]
 
 
-def _search(queries: dict[int, tuple[np.ndarray, np.ndarray]], grid, k: int):
-    """Blocks of the file -> (query_id, vec_id, score), at most k rows for each query and batch of blocks."""
-
-    def one(row) -> dict:
-        n, rows = row["n"], row["rows"]
-        return {"ids": np.frombuffer(row["ids"], np.int64), "cells": np.frombuffer(row["cells"], np.uint8).reshape(rows, n), "low": np.frombuffer(row["low"]), "high": np.frombuffer(row["high"]), "exact": np.frombuffer(row["exact"]).reshape(rows, n)}
-
-    def run(batches):
+def _block(row: dict) -> dict:
+    n, rows = row["n"], row["rows"]
+    return {"ids": np.frombuffer(row["ids"], np.int64), "cells": np.frombuffer(row["cells"], np.uint8).reshape(rows, n), "low": np.frombuffer(row["low"]), "high": np.frombuffer(row["high"]), "exact": np.frombuffer(row["exact"]).reshape(rows, n)}
+
+
+def _scan(b: dict, lines: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, best: dict[int, list[tuple[int, int]]]):
+    """A block's vectors into the best of each query: bounds from the cells, then exact vectors in bound order."""
+    # Each cell's ends, within the block's extremes; one below the next line, as components are whole.
+    start = np.clip(np.vstack([b["low"][None], lines]), b["low"], b["high"])
+    end = np.clip(np.vstack([lines, b["high"][None]]), b["low"], b["high"])
+    cols = np.arange(q.shape[1])
+    low, high = start[b["cells"], cols], end[b["cells"], cols]
+    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
+    upper = plus @ high.T + minus @ low.T
+    # Products in floating point may be off by rounding once they are large.
+    size = (np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).T) if q.shape[1] else np.zeros_like(upper)
+    upper = upper + np.where(size < EXACT, 0.0, size * 1e-9)
+    lower = plus @ low.T + minus @ high.T - np.where(size < EXACT, 0.0, size * 1e-9)
+    # One more than k, as a query's own vector takes no part.
+    at = max(0, lower.shape[1] - k - 1)
+    kth = np.partition(lower, at, axis=1)[:, at] if lower.shape[1] > k else np.full(len(q), -np.inf)
+    for i, qid in enumerate(q_ids.tolist()):
+        got = best.setdefault(qid, [])
+        floor = max(float(kth[i]), -got[-1][0] if len(got) == k else -np.inf)
+        left = np.flatnonzero(upper[i] >= floor)
+        left = left[np.argsort(-upper[i, left], kind="stable")]
+        for s in range(0, len(left), READ):
+            part = left[s : s + READ]
+            if len(got) == k and upper[i, part[0]] < -got[-1][0]:
+                break
+            scores = _products(q[i], b["exact"][part])
+            got += [(-x, int(v)) for x, v in zip(scores, b["ids"][part].tolist(), strict=True) if v != qid]
+            got.sort()
+            del got[k:]
+
+
+def _search(grid, k: int):
+    """A part of the file and a group of queries -> (query_id, vec_id, score), at most k rows for each query."""
+
+    def run(file: pa.Table, asked: pa.Table) -> pa.Table:
         best: dict[int, list[tuple[int, int]]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["n"] not in queries:
-                    continue
-                q_ids, q = queries[row["n"]]
-                b, n = one(row), row["n"]
-                lines = grid.get(n, np.zeros((CELLS - 1, n)))
-                # Each cell's ends, within the block's extremes; one below the next line, as components are whole.
-                start = np.clip(np.vstack([b["low"][None], lines]), b["low"], b["high"])
-                end = np.clip(np.vstack([lines, b["high"][None]]), b["low"], b["high"])
-                cols = np.arange(n)
-                low, high = start[b["cells"], cols], end[b["cells"], cols]
-                plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-                upper = plus @ high.T + minus @ low.T
-                # Products in floating point may be off by rounding once they are large.
-                size = (np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).T) if n else np.zeros_like(upper)
-                upper = upper + np.where(size < EXACT, 0.0, size * 1e-9)
-                lower = plus @ low.T + minus @ high.T - np.where(size < EXACT, 0.0, size * 1e-9)
-                kth = np.partition(lower, max(0, lower.shape[1] - k - 1), axis=1)[:, max(0, lower.shape[1] - k - 1)] if lower.shape[1] > k else np.full(len(q), -np.inf)
-                for i, qid in enumerate(q_ids.tolist()):
-                    got = best.setdefault(qid, [])
-                    floor = max(float(kth[i]), got[-1][0] * -1.0 if len(got) == k else -np.inf)
-                    left = np.flatnonzero(upper[i] >= floor)
-                    left = left[np.argsort(-upper[i, left], kind="stable")]
-                    for s in range(0, len(left), READ):
-                        part = left[s : s + READ]
-                        if len(got) == k and upper[i, part[0]] < -got[-1][0]:
-                            break
-                        scores = _products(q[i], b["exact"][part])
-                        got += [(-x, int(v)) for x, v in zip(scores, b["ids"][part].tolist(), strict=True) if v != qid]
-                        got.sort()
-                        del got[k:]
+        lists = asked.column("v").combine_chunks()
+        ids, off, flat = asked.column("vec_id").to_numpy(), lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        wide = np.diff(off)
+        for i in range(file.num_rows):
+            row = file.slice(i, 1).to_pylist()[0]
+            n = row["n"]
+            at = np.flatnonzero(wide == n)
+            if not len(at):
+                continue
+            b, lines = _block(row), grid.get(n, np.zeros((CELLS - 1, n)))
+            for s in range(0, len(at), QUERIES):
+                some = at[s : s + QUERIES]
+                q = flat[off[some][:, None] + np.arange(n)].astype(np.float64).reshape(len(some), n)
+                _scan(b, lines, ids[some], q, k, best)
         rows = [(qid, v, -x) for qid, got in best.items() for x, v in got]
-        if rows:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["query_id", "vec_id", "score"])
+        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -156,20 +173,10 @@ def top_k(table: DataFrame, query: str = "vec_id % 100 = 0", k: int = 10, scale:
     grid = _grid(rows)
     file = scratch.cut(rows.mapInArrow(_blocks(grid), "n int, rows int, ids binary, cells binary, low binary, high binary, exact binary"))
     asked = rows.where(query)
-    blocks = max(1, -(-asked.count() // (QUERIES // 2)))
-    asked = asked.withColumn("__b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asked = scratch.cut(asked)
-    parts = []
-    for b in range(blocks):
-        by: dict[int, list] = {}
-        # At most QUERIES or so rows: the block is bounded.
-        for r in asked.where(F.col("__b") == b).collect():
-            by.setdefault(len(r.v), []).append(r)
-        held = {n: (np.array([r.vec_id for r in v], np.int64), np.array([r.v for r in v], np.float64).reshape(len(v), n)) for n, v in by.items()}
-        parts.append(file.mapInArrow(_search(held, grid, k), "query_id long, vec_id long, score long"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    parts, groups = (max(1, -(-n // each)) for n, each in ((rows.count(), PART), (asked.count(), GROUP)))
+    asked = asked.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"))
+    file = file.select("*", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    found = file.groupBy("g", "p").cogroup(asked.groupBy("g", "p")).applyInArrow(_search(grid, k), "query_id long, vec_id long, score long")
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score").cast("decimal(20,0)")).alias("s"), "vec_id", "score"))), 1, k)
     # In two steps, so that no group has the answers of all tasks at once.
     found = found.withColumn("part", F.spark_partition_id() % 64).groupBy("query_id", "part").agg(best.alias("best"))

@@ -30,6 +30,8 @@ def test_random(spark, monkeypatch, seed):
     monkeypatch.setattr(m, "BLOCK", 37)
     monkeypatch.setattr(m, "QUERIES", 6)
     monkeypatch.setattr(m, "SAMPLE", 50)
+    monkeypatch.setattr(m, "GROUP", 20)
+    monkeypatch.setattr(m, "PART", 90)
     r = random.Random(seed)
     rows = [(i * 20, [r.choice([-0.5, 0.0, 0.25, r.gauss(0, 1)]) for _ in range(8)]) for i in range(300)]
     rows += [(7 + i, rows[i % 5][1]) for i in range(60)]
