@@ -8,8 +8,8 @@ How it stays whole and linear.  Documents with equal sets are one node.  A
 bucket (a band value) links each member to its smallest member, so a bucket of
 m members gives m - 1 pairs.  Nodes of one component need no more comparison.
 Buckets tie nodes to clusters; a cluster that still holds several components is
-dealt into blocks of about ``BLOCK`` shingles, and each two blocks meet in one
-task that counts overlaps of full sets by matrix products and gives a spanning
+dealt into blocks of about ``BLOCK`` shingles and ``NODES`` sets, whichever is
+less, and each two blocks meet in one task that counts overlaps of full sets by matrix products and gives a spanning
 forest of the links between components.  No bucket is capped, no pair that
 banding proposes stays untested unless its two documents are already in one
 component, and no list of all pairs of a group is ever made.
@@ -37,6 +37,8 @@ from .common import Scratch, flat_words, mix, read, slices, word_hashes
 BANDS, ROWS = 36, 5
 #: Shingles of a block of a cluster; two blocks meet in one task.
 BLOCK = 1 << 18
+#: Sets of such a block: the task that compares two blocks has a square of twice as many.
+NODES = 1500
 #: Rows of (two longs) up to which a list of documents is broadcast; beyond, a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
 
@@ -189,8 +191,9 @@ def _between_blocks(num: int, den: int):
         block = table.column("block").to_numpy()
         u, v = [], []
         if len(np.unique(label)) > 1:
-            n = np.array([len(s) for s in sets], np.float64)
-            shared = _overlaps(sets).astype(np.float64)
+            n = np.array([len(s) for s in sets], np.float32)
+            # Whole numbers below 2**24 are exact; longer sets need more.
+            shared = _overlaps(sets).astype(np.float64 if den * n.max() * 2 >= 2**24 else np.float32, copy=False)
             ok = den * shared >= num * (n[:, None] + n[None, :] - shared)
             ok &= label[:, None] != label[None, :]
             if len(np.unique(block)) > 1:
@@ -289,7 +292,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     named = named.select("node", "cluster", F.coalesce("label", "node").alias("label")).join(full.select("node", "n"), "node")
     named = scratch.cut(named)
     open_ = named.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k"), F.sum("n").alias("size")).where("lo <> hi and k > 2")
-    open_ = open_.select("cluster", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    open_ = open_.select("cluster", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("k") / NODES)).cast("int").alias("blocks"))
     open_ = scratch.cut(named.join(open_, "cluster").select("node", "cluster", "label", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block"), "blocks"))
     dealt = open_.join(full.select("node", "set"), "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "set")

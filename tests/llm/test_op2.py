@@ -58,9 +58,10 @@ def corpus(seed=5):
     return rows
 
 
-@pytest.mark.parametrize("block", [1 << 18, 200])
-def test_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "nodes"), [(1 << 18, 1500), (200, 1500), (1 << 18, 2)])
+def test_against_brute_force(spark, monkeypatch, block, nodes):
     monkeypatch.setattr(m, "BLOCK", block)
+    monkeypatch.setattr(m, "NODES", nodes)
     rows = corpus()
     assert got(spark, rows, words=2) == brute(rows)
 
@@ -68,6 +69,7 @@ def test_against_brute_force(spark, monkeypatch, block):
 def test_many_components_in_one_bucket(spark, monkeypatch):
     """Bands of one row: buckets hold unlike documents, so blocks have work."""
     monkeypatch.setattr(m, "BLOCK", 400)
+    monkeypatch.setattr(m, "NODES", 7)
     shared = " ".join(f"s{i}" for i in range(60))
     rows = [(i, f"{shared} " + " ".join(f"u{i // 3}x{j}" for j in range(30)) + f" z{i}") for i in range(30)]
     assert got(spark, rows, words=2, bands=40, rows=1) == brute(rows)
