@@ -1,9 +1,9 @@
 """Toxicity by a chain of classifiers.
 
 Categories are predicted one after another; each is a logistic regression over
-the words of the text and the log-odds that the chain gave earlier categories.
-Later models are trained with out-of-fold log-odds of the earlier ones, so
-they meet in training what they will meet in use.  Training takes at most
+the words of the text and the probabilities that the chain gave earlier
+categories.  Later models are trained with out-of-fold probabilities of the
+earlier ones, so they meet in training what they will meet in use.  Training takes at most
 ``SAMPLE`` labelled rows; every text is scored whole.
 
 A feature is a word (letters only, case folded for ASCII) or a word's beginning
@@ -32,6 +32,8 @@ from .common import as_binary, read, slices
 
 #: Labelled rows at most, fewest training rows with a word, folds, steps of training.
 SAMPLE, MIN_ROWS, FOLDS, STEPS = 5000, 3, 4, 150
+#: Bytes of the longest text that trains; longer ones are scored like all others.
+LONGEST = 1 << 16
 #: Rows added to each cell of a feature's two-by-two table with a category.
 ADDED = 0.5
 #: Bytes of the word beginnings that are features too, for inflected words.
@@ -87,6 +89,10 @@ def _odds(w: np.ndarray, rows: list[np.ndarray], extra: np.ndarray, size: int) -
     return np.clip(z + extra @ w[size:-1] + w[-1], -30, 30)
 
 
+def probability(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-odds))
+
+
 def _best_cut(odds: np.ndarray, y: np.ndarray) -> float:
     """The middle of the gap after which F1 is highest."""
     if not len(y) or y.min() == y.max():
@@ -124,25 +130,32 @@ def train(rows: list[tuple[bytes, list[int | None]]], folds: int = FOLDS) -> dic
             held[at] = _odds(fitted(known & (fold != f)), [coded[i] for i in at], extra[at], size)
         models.append(fitted(known))
         cuts.append(_best_cut(held[known], y[known]))
-        extra = np.column_stack([extra, held / 10])
+        extra = np.column_stack([extra, probability(held)])
     return {"index": index, "models": models, "cuts": cuts}
 
 
 def predict(model: dict, texts: list[bytes]) -> np.ndarray:
-    """Log-odds (text, category), the chain fed with its own earlier ones."""
+    """Log-odds (text, category), each model fed with the probabilities that the ones before it gave."""
     index = model["index"]
     coded = [np.array([index[w] for w in words(t) if w in index], np.int64) for t in texts]
-    extra = np.zeros((len(texts), 0))
+    odds, extra = np.zeros((len(texts), 0)), np.zeros((len(texts), 0))
     for w in model["models"]:
-        extra = np.column_stack([extra, _odds(w, coded, extra, len(index)) / 10])
-    return extra * 10
+        odds = np.column_stack([odds, _odds(w, coded, extra, len(index))])
+        extra = probability(odds)
+    return odds
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str]]) -> dict:
-    """From at most SAMPLE rows of labels, those whose hashes are lowest; only these meet the texts."""
+    """From at most SAMPLE labelled ids, those whose hashes are lowest; only these meet the texts.
+
+    Of rows with one id the smallest text counts, and texts over LONGEST bytes
+    don't train, so what comes to the driver is bounded in rows and bytes.
+    """
     named = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(F.expr(e)).alias(n) for n, e in categories])
     some = named.withColumn("__h", F.xxhash64("doc_id")).orderBy("__h").limit(SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").collect()
+    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+    # SAMPLE rows at most are broadcast; the texts that match meet by id, a hot id's after a partial minimum.
+    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(c).alias(c) for c in some.columns if c != "doc_id"]).collect()
     rows.sort(key=lambda r: (r["__h"], r.text or ""))
     if not rows:
         return {"index": {}, "models": [_logistic([], np.zeros((0, j)), np.zeros(0), 0) for j in range(len(categories))], "cuts": [0.0] * len(categories)}
@@ -156,7 +169,7 @@ def score(docs: DataFrame, model: dict, names: list[str]) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
             odds = predict(model, as_binary(batch.column("text")))
-            p = 1 / (1 + np.exp(-odds))
+            p = probability(odds)
             cols = [batch.column("doc_id")]
             cols += [pa.array(p[:, j]) for j in range(len(names))] + [pa.array(odds[:, j] > cuts[j]) for j in range(len(names))]
             yield pa.record_batch(cols, names=["doc_id", *[f"p_{n}" for n in names], *[f"is_{n}" for n in names]])

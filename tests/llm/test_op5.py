@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 
 from inkwell.llm import op5_toxicity as m
@@ -72,3 +74,51 @@ def test_features_do_not_ask_for_many_rows():
     model = m.train(rows)
     with_word, without = m.predict(model, [b"plain scum", b"plain words"])[:, 1]
     assert with_word > model["cuts"][1] > without
+
+
+def chain_by_hand(rows, folds):
+    """The chain restated: one model after another, each fed with what models that did not see a row said of it."""
+    feats = sorted(w for w, n in Counter(w for t, _ in rows for w in m.words(t)).items() if n >= m.MIN_ROWS)
+    x = [np.array([j for j, w in enumerate(feats) if w in m.words(t)], np.int64) for t, _ in rows]
+    fed, models = np.zeros((len(rows), 0)), []
+    for c in range(len(rows[0][1])):
+        y = np.array([r[1][c] for r in rows], float)
+        own = np.zeros(len(rows))
+        for f in range(folds):
+            inner = [i for i in range(len(rows)) if i % folds != f]
+            w = m._logistic([x[i] for i in inner], fed[inner], y[inner], len(feats))
+            for i in range(f, len(rows), folds):
+                z = w[x[i]].sum() + sum(a * b for a, b in zip(fed[i], w[len(feats) : -1], strict=True)) + w[-1]
+                own[i] = 1 / (1 + np.exp(-min(30, max(-30, z))))
+        models.append(m._logistic(x, fed, y, len(feats)))
+        fed = np.column_stack([fed, own])
+    return feats, models
+
+
+def test_the_chain_against_its_restatement():
+    r = np.random.default_rng(2)
+    rows = []
+    for _ in range(120):
+        a, b = int(r.integers(2)), int(r.integers(2))
+        rows.append((b"w%d v%d " % (r.integers(5), r.integers(4)) + (b"mark " if a and r.random() < 0.8 else b"") + (b"sign" if b else b""), [a, a & b]))
+    feats, models = chain_by_hand(rows, m.FOLDS)
+    got = m.train(rows)
+    assert list(got["index"]) == feats
+    for x, y in zip(got["models"], models, strict=True):
+        assert np.allclose(x, y, atol=1e-6)
+    texts = [b"mark sign w1", b"sign v2", b"plain"]
+    z1 = [models[0][[feats.index(w) for w in m.words(t) if w in feats]].sum() + models[0][-1] for t in texts]
+    p1 = [1 / (1 + np.exp(-z)) for z in z1]
+    z2 = [models[1][[feats.index(w) for w in m.words(t) if w in feats]].sum() + models[1][len(feats)] * p + models[1][-1] for t, p in zip(texts, p1, strict=True)]
+    assert np.allclose(m.predict(got, texts), np.column_stack([z1, z2]), atol=1e-6)
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """A repeated id comes once, and over-long texts not at all."""
+    monkeypatch.setattr(m, "LONGEST", 100)
+    taken = []
+    monkeypatch.setattr(m, "train", lambda rows: taken.extend(rows))
+    docs = spark.createDataFrame([(1, t) for t in ["b", "a", "a"] * 50] + [(2, "x" * 101), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in (1, 2, 3)], "doc_id long, quality int, toxic int")
+    m.fit(docs, labels, m.CHAIN)
+    assert sorted(t for t, _ in taken) == [b"", b"a"]
