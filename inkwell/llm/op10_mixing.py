@@ -6,9 +6,10 @@ claim / (2 * seats + 1).  A shard's quota of q blocks out of n takes every block
 q // n times and q % n of them, by a seeded permutation, once more; so no word
 is taken more than ``most`` times (2).
 
-Built from DataFrame functions only.  A source is split over up to ``CELLS``
-hashed cells, so a source with a third of all rows is spread; one shuffle keyed
-by (source, cell) carries the rows.  Apportionment starts from the rounded
+Built from DataFrame functions only.  A source is split over hashed cells, at
+least ``CELLS`` and so many that a cell has some ``CELL_ROWS`` rows at most, so
+a source with a third of all rows is spread at any size; one shuffle keyed by
+(source, cell) carries the rows.  Apportionment starts from the rounded
 claims, which is a Sainte-Lague result for its own sum, and moves the few seats
 that the sum is off by in order of quotients.
 
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, read
 
-#: Hashed cells that a source is spread over.
-CELLS = 4096
+#: Fewest hashed cells that a source is spread over, and rows that a cell has at most, or so, if all rows are of one source.
+CELLS, CELL_ROWS = 4096, 1 << 15
 #: Words of a block, fewest blocks that a shard is cut into, and words of a shard.
 BLOCK, LEAST_BLOCKS, SHARD = 256, 64, 1 << 16
 #: Multipliers of the seeded permutation; no block count is a multiple of all three.
@@ -52,7 +53,7 @@ def _seats(df: DataFrame, by: list[str], claim: str, most: str, house: Column, k
     return df.join(moved, on, "left").withColumn("quota", (F.col("__a") + F.coalesce("__m", F.lit(0))).cast("long")).drop("__a", "__d", "__m")
 
 
-def _plan(cells: DataFrame, scratch: Scratch, weights, total: float, most: int) -> DataFrame:
+def _plan(cells: DataFrame, scratch: Scratch, weights, total: float, most: int, n_cells: int) -> DataFrame:
     """cells(__no, __s, __cell, words) -> with the source's size and target, the shard, its blocks and quota, and the cell's first word in it."""
     sources = cells.groupBy(*_S).agg(F.sum("words").alias("source_size"))
     # Aggregated rows: one of each source.
@@ -68,7 +69,7 @@ def _plan(cells: DataFrame, scratch: Scratch, weights, total: float, most: int)
     free = F.col("__level") * F.col("weight") <= F.col("__cap")
     sources = sources.withColumn("__final", F.min(F.when(free, F.struct(F.col("__cap") / F.col("weight"), F.col("__rank"), F.col("__level").alias("l")))).over(one)["l"])
     sources = sources.withColumn("target", F.least(F.col("__cap"), F.coalesce(F.col("__final") * F.col("weight"), F.col("__cap"))))
-    sources = sources.withColumn("__shards", F.least(F.lit(CELLS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD))).cast("int"))
+    sources = sources.withColumn("__shards", F.least(F.lit(n_cells), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD))).cast("int"))
     sources = sources.select(*_S, "source_size", "target", "__shards")
 
     placed = scratch.cut(cells.join(sources, _S).withColumn("__shard", F.pmod("__cell", "__shards")))
@@ -98,11 +99,15 @@ def _times(block: Column, seed: int) -> Column:
 def _drawn(docs: DataFrame, weights, total: float, most: int, seed: int) -> DataFrame:
     """docs with size, source_size, target, taken, and what is needed to find the words taken."""
     scratch = Scratch(docs.sparkSession, "mix")
+    n_cells = CELLS
+    rows = docs.count()
+    while n_cells * CELL_ROWS < rows:
+        n_cells *= 2
     docs = docs.withColumn("__no", F.col("source").isNull()).withColumn("__s", F.coalesce("source", F.lit("")))
     docs = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    docs = docs.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("__cell", F.pmod("__h", F.lit(CELLS)).cast("int"))
+    docs = docs.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("__cell", F.pmod("__h", F.lit(n_cells)).cast("int"))
     cells = scratch.cut(docs.groupBy(*_S, "__cell").agg(F.sum("size").alias("words")))
-    plan = _plan(cells, scratch, weights, total, most)
+    plan = _plan(cells, scratch, weights, total, most, n_cells)
     order = Window.partitionBy(*_S, "__cell").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = docs.join(plan, [*_S, "__cell"])
     out = out.withColumn("__at", F.col("__first") + F.coalesce(F.sum("size").over(order), F.lit(0)))

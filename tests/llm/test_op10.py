@@ -53,6 +53,19 @@ def odd():
     return [*docs, (1, None, "none"), (None, "a b", "b"), (1, "", ""), (5, "same row", "b"), (5, "same row", "b")]
 
 
+def test_cells_grow_with_the_table(spark, odd, monkeypatch):
+    monkeypatch.setattr(m, "CELLS", 2)
+    monkeypatch.setattr(m, "CELL_ROWS", 9)
+    monkeypatch.setattr(m, "SHARD", 500)
+    df = spark.createDataFrame([(*d, "", "") for d in odd], SCHEMA)
+    rows = m.mix(df).collect()
+    assert len(rows) == len(odd) and all(0 <= r.taken <= 2 * r.size for r in rows)
+    for s in {r.source for r in rows}:
+        of = [r for r in rows if r.source == s]
+        # A shard is cut into 64 blocks at least, so a block is a word or more of each.
+        assert abs(sum(r.taken for r in of) - of[0].target) <= max(16, of[0].source_size / 16), s
+
+
 def test_odd_rows(spark, odd):
     df = spark.createDataFrame([(*d, "", "") for d in odd], SCHEMA)
     check(m.mix(df).collect(), odd)
