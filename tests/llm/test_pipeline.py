@@ -128,3 +128,13 @@ def test_null_and_reused_ids(spark):
     assert len(sevens) == 1 and sevens[0][1] in (d, d + " more")
     assert len(nulls) == 1 and nulls[0][1] in (c, c + " more")
     assert got == Counter([(1, a), (5, b), *sevens, *nulls, (8, "one text of id eight"), (8, "and quite another one"), (9, ""), (None, ""), (None, "")])
+
+
+def test_columns_named_as_helpers(spark):
+    """Helper columns keep clear of the table's own."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a, 1, "t", 7, 8), (2, a + " more", 2, "t", 7, 8), (3, b, 3, "t", 7, 8), (3, b, 3, "t", 7, 8), (3, a, 4, "u", 7, 8), (3, "quite another text of id three", 5, "v", 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __n long, __t string, __id long, __OWN long")
+    out = p.near_dedup(spark, docs, "")
+    assert out.schema == docs.schema
+    assert sorted(map(tuple, out.collect())) == sorted([rows[0], rows[2], rows[5]])
