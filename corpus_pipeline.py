@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import Scratch, read
+from inkwell.llm.common import Scratch, fresh, read
 from inkwell.llm.op2_minhash import BROADCAST_ROWS, near_duplicates
 from inkwell.llm.op4_pii import mask_pii
 from inkwell.llm.op7_packing import pack
@@ -32,20 +32,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: the one with the smallest doc_id, null last."""
     scratch = Scratch(spark, "dedup")
-    found = scratch.cut(near_duplicates(docs, by_row=True).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "n_shingles", "kept"))
-    left = docs.withColumn("__t", F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th"))
-    dropped = found.where("not kept").select("__id", "__th").distinct()
+    by_id, by_text, own, place = fresh(docs.columns, "__id", "__th", "__own", "__place")
+    found = near_duplicates(docs, by_row=True).select(F.col("doc_id").alias(by_id), F.col("th").alias(by_text), "n_shingles", "kept")
+    found = scratch.cut(found)
+    left = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(by_id)) & (F.col(own) == F.col(by_text))
+    dropped = found.where("not kept").select(by_id, by_text).distinct()
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
     left = left.join(dropped, same, "left_anti")
     # Rows that repeat a kept one, if there are any; texts without words are no copies of each other.
-    again = found.where("kept and (__id is not null or n_shingles > 0)").groupBy("__id", "__th").count().where("count > 1").select("__id", "__th")
-    again = scratch.cut(again)
+    again = found.where(F.col("kept") & (F.col(by_id).isNotNull() | (F.col("n_shingles") > 0))).groupBy(by_id, by_text).count().where("count > 1")
+    again = scratch.cut(again.select(by_id, by_text))
     if again.isEmpty():
         return left.select(*docs.columns)
-    once = Window.partitionBy("doc_id", "__t").orderBy("text")
-    one = left.join(again, same, "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1")
+    once = Window.partitionBy("doc_id", own).orderBy("text")
+    one = left.join(again, same, "left_semi").withColumn(place, F.row_number().over(once)).where(F.col(place) == 1)
     return left.join(again, same, "left_anti").select(*docs.columns).union(one.select(*docs.columns))
 
 
