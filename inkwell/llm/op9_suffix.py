@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, as_binary, mix, read, slices, trim
@@ -174,9 +174,10 @@ class Chunk:
 
     def parts(self, names: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
         """(range, start, end) of the sorted names."""
-        lines = np.array([-(-(r << bits) // self.ranges) for r in range(1, self.ranges)], np.uint64)
-        at = np.concatenate(([0], np.searchsorted(names, lines), [len(names)]))
-        return [(r, int(at[r]), int(at[r + 1])) for r in range(self.ranges) if at[r] < at[r + 1]]
+        # By the upper 32 bits; only ranges that have names are visited, however many there are.
+        own = ((names >> np.uint64(bits - 32)) * np.uint64(self.ranges)) >> np.uint64(32)
+        at = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)])) if len(own) else np.zeros(1, np.int64)
+        return [(int(own[s]), s, e) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def _answer(self, answers: list[dict] | None, names: np.ndarray, bits: int) -> np.ndarray:
         out = np.zeros(len(names), bool)
@@ -332,5 +333,45 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -
     return out.select(F.when(F.col("id") < LAST, F.col("id")).alias("doc_id"), *out.columns[1:])
 
 
+def _first_ranks(have: int):
+    """(row, id, text) -> row, id, pos, rank of all positions: the first bytes as a number."""
+
+    def run(batches):
+        for batch in slices(batches, rows=64, bytes_=1 << 20):
+            for row, i, t in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), as_binary(batch.column("text")), strict=True):
+                n = len(t) - have + 1
+                if n > 0:
+                    rank = np.zeros(n, np.int64)
+                    for k in range(have):
+                        rank = (rank << 8) | np.frombuffer(t, np.uint8)[k : k + n]
+                    yield pa.record_batch([pa.array(np.full(n, row)), pa.array(np.full(n, i)), pa.array(np.arange(n, dtype=np.int64)), pa.array(rank)], names=["row", "id", "pos", "rank"])
+
+    return run
+
+
+def doubled_positions(docs: DataFrame, length: int = LENGTH, first: int = 7) -> DataFrame:
+    """docs(doc_id, text) -> id, row, pos: all starts of strings of ``length`` bytes that also start in a document with a smaller id.
+
+    Plain prefix doubling over all positions: Spark sorts rank pairs at growing
+    offsets, equal pairs get one rank (their least position), and a position
+    whose rank only one document has is settled and leaves, with all that
+    would pair with it.  It moves some hundred times the corpus, so the
+    operator filters positions first; this is what it is measured against.
+    """
+    scratch = Scratch(docs.sparkSession, "doubling")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = scratch.cut(docs.withColumn("row", F.monotonically_increasing_id()))
+    now, have = docs.mapInArrow(_first_ranks(first), "row long, id long, pos long, rank long").withColumn("other", F.lit(0)), first
+    while True:
+        same = Window.partitionBy("rank", "other")
+        ranked = now.select("row", "id", "pos", F.min(F.struct("row", "pos")).over(same).alias("rank"), F.min("id").over(same).alias("lo"), F.max("id").over(same).alias("hi"))
+        if have == length:
+            return ranked.where("lo < id").select("id", "row", "pos")
+        alive = scratch.cut(ranked.where("lo < hi").select("row", "id", "pos", "rank"))
+        step = min(have, length - have)
+        later = alive.select("row", (F.col("pos") - step).alias("pos"), F.col("rank").alias("other"))
+        now, have = alive.join(later, ["row", "pos"]), have + step
+
+
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"))

@@ -62,3 +62,17 @@ def test_small_table(spark):
 def test_kept_bytes(spark):
     df = spark.createDataFrame([(1, "a" * 60), (2, "b" + "a" * 60 + "c")], "doc_id long, text string")
     assert {r.doc_id: bytes(r.kept) for r in m.remove_repeats(df, texts=True).collect()} == {1: b"a" * 60, 2: b"bc"}
+
+
+def test_plain_doubling_finds_the_same_starts(spark):
+    r = random.Random(6)
+    base = "".join(r.choice("abc ") for _ in range(400))
+    rows = [(i, base[r.randrange(300) :][: r.randrange(120)] + "é" * r.randrange(3) + base[r.randrange(300) :][: r.randrange(90)]) for i in range(25)] + [(3, base), (None, base[:70]), (7, None), (9, "")]
+    got = {(x.id, x.row, x.pos) for x in m.doubled_positions(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    texts = [((1 << 63) - 1 if i is None else i, (t or "").encode()) for i, t in rows]
+    least = {}
+    for i, t in texts:
+        for p in range(len(t) - 49):
+            least[t[p : p + 50]] = min(i, least.get(t[p : p + 50], i))
+    want = {(i, k, p) for k, (i, t) in enumerate(texts) for p in range(len(t) - 49) if least[t[p : p + 50]] < i}
+    assert got == want and len(want) > 100
