@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from . import fixed
+
 #: What ends a line: CRLF, LF, VT, FF, CR, U+001C-1E, NEL, LS, PS.
 LINE_END = "\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_]+"
@@ -57,27 +59,43 @@ def numbered(lines: Column) -> Column:
     return F.transform(lines, lambda line, i: F.struct((i + 1).cast("int").alias("n"), line.alias("line")))
 
 
-_OPEN = r"^\s{0,3}(`{3,}|~{3,})"
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once: a lambda's variable is a result, an expression in a lambda runs for every element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def outside_fences(lines: Column) -> Column:
-    """Numbered lines that are neither a code fence's marks nor inside one; an open fence runs to the end."""
-    start = F.struct(F.lit("").alias("mark"), F.array().cast("array<struct<n:int,line:string>>").alias("kept"))
+    """Numbered lines that are neither a code fence's marks nor inside one; an open fence runs to the end.
+
+    Only the lines that look like marks are folded, into the stretches between
+    fences; the lines of each stretch are then one slice.
+    """
+    start = F.struct(F.lit("").alias("open"), F.lit(1).alias("first"), F.array().cast("array<struct<first:int,n:int>>").alias("seen"))
 
     def step(acc, x):
-        mark = F.regexp_extract(x["line"], _OPEN, 1)
-        inside = acc["mark"] != ""
-        closes = (F.regexp_extract(x["line"], _OPEN + r"[ \t]*$", 1) != "") & (F.substring(mark, 1, 1) == F.substring(acc["mark"], 1, 1)) & (F.length(mark) >= F.length(acc["mark"]))
-        keep = ~inside & (mark == "")
+        outside = acc["open"] == ""
+        closes = x["bare"] & (F.substring(x["mark"], 1, 1) == F.substring(acc["open"], 1, 1)) & (F.length(x["mark"]) >= F.length(acc["open"]))
+        stretch = F.struct(acc["first"].alias("first"), (x["n"] - acc["first"]).alias("n"))
         return F.struct(
-            F.when(inside & closes, F.lit("")).when(inside, acc["mark"]).otherwise(mark).alias("mark"),
-            F.when(keep, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"),
+            F.when(outside, x["mark"]).when(closes, F.lit("")).otherwise(acc["open"]).alias("open"),
+            F.when(~outside & closes, x["n"] + 1).otherwise(acc["first"]).alias("first"),
+            F.when(outside, F.concat(acc["seen"], F.array(stretch))).otherwise(acc["seen"]).alias("seen"),
+        )
+
+    def kept(all_):
+        marks = F.transform(
+            F.filter(all_, lambda x: x["line"].rlike(fixed.FENCE)),
+            lambda x: F.struct(x["n"].alias("n"), F.regexp_extract(x["line"], fixed.FENCE, 1).alias("mark"), x["line"].rlike(fixed.FENCE + r"[ \t]*$").alias("bare")),
         )
 
-    all_ = numbered(lines)
-    # The fold copies what it has kept, so texts without any fence skip it.
-    fenced = F.exists(lines, lambda line: line.rlike(_OPEN))
-    return F.when(fenced, F.aggregate(all_, start, step, lambda acc: acc["kept"])).otherwise(all_)
+        def last(acc):
+            rest = F.struct(acc["first"].alias("first"), (F.size(all_) + 1 - acc["first"]).alias("n"))
+            return F.when(acc["open"] == "", F.concat(acc["seen"], F.array(rest))).otherwise(acc["seen"])
+
+        return F.flatten(F.transform(F.aggregate(marks, start, step, last), lambda x: F.slice(all_, x["first"], x["n"])))
+
+    fenced = F.exists(lines, lambda line: line.rlike(fixed.FENCE))
+    return F.when(fenced, let(numbered(lines), kept)).otherwise(numbered(lines))
 
 
 def blank_code(line: Column) -> Column:
@@ -109,13 +127,13 @@ def link_target(inner: Column) -> Column:
 
 def links(visible_lines: Column) -> Column:
     """array<struct<line, raw, target>> of the wikilinks."""
-    found = F.flatten(F.transform(visible_lines, lambda x: F.transform(F.regexp_extract_all(x["line"], F.lit(r"\[\[([^\[\]\n]+)\]\]"), F.lit(1)), lambda m: F.struct(x["n"].alias("line"), F.concat(F.lit("[["), m, F.lit("]]")).alias("raw"), link_target(m).alias("target")))))
+    found = F.flatten(F.transform(visible_lines, lambda x: F.transform(F.regexp_extract_all(x["line"], F.lit(fixed.WIKILINK), F.lit(1)), lambda m: F.struct(x["n"].alias("line"), F.concat(F.lit("[["), m, F.lit("]]")).alias("raw"), link_target(m).alias("target")))))
     return F.filter(found, lambda x: x["target"] != "")
 
 
 def primary_entries(visible_lines: Column) -> Column:
     """array<struct<line, target>>: bullets whose content begins with a wikilink."""
-    inner = r"(?U)^\s*[-*+]\s+\[\[([^\[\]\n]+)\]\]"
+    inner = r"(?U)^\s*[-*+]\s+" + fixed.WIKILINK
     found = F.transform(visible_lines, lambda x: F.struct(x["n"].alias("line"), link_target(F.regexp_extract(x["line"], inner, 1)).alias("target")))
     return F.filter(found, lambda x: x["target"] != "")
 
@@ -129,18 +147,24 @@ def closing_line(lines: Column) -> Column:
 
 def header(lines: Column, end: Column) -> Column:
     """map of a header's fields, ``end`` being its closing line: the last of a key counts, further lines belong to the key above."""
-    body = F.slice(lines, F.lit(2), F.greatest(F.lit(0), end - 2))
-    key = r"^([A-Za-z_][A-Za-z0-9_-]*):(.*)$"
 
-    def step(acc, line):
-        new = F.struct(F.regexp_extract(line, key, 1).alias("k"), F.regexp_extract(line, key, 2).alias("v"))
-        last = F.element_at(acc, -1)
-        longer = F.struct(last["k"].alias("k"), F.concat(last["v"], F.lit("\n"), line).alias("v"))
-        others = F.filter(acc, lambda x: x["k"] != new["k"])
-        return F.when(line.rlike(key), F.concat(others, F.array(new))).when(F.size(acc) > 0, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(acc)
+    def entries(body, at):
+        def entry(x, i):
+            # Lines up to the next field's are this one's.
+            following = F.coalesce(F.get(at, i + 1)["n"], F.size(body) + 1)
+            more = F.transform(F.slice(body, x["n"] + 1, following - x["n"] - 1), lambda y: y["line"])
+            value = F.array_join(F.concat(F.array(F.regexp_extract(x["line"], fixed.FIELD, 2)), more), "\n")
+            return F.struct(F.regexp_extract(x["line"], fixed.FIELD, 1).alias("k"), strip(value).alias("v"))
 
-    start = F.array().cast("array<struct<k:string,v:string>>")
-    return F.aggregate(body, start, step, lambda acc: F.map_from_entries(F.transform(acc, lambda x: F.struct(x["k"], strip(x["v"])))))
+        return F.transform(at, entry)
+
+    def last(found):
+        return F.filter(found, lambda x, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda y: y["k"] == x["k"]))
+
+    def fields(body):
+        return let(F.filter(body, lambda x: x["line"].rlike(fixed.FIELD)), lambda at: let(entries(body, at), last))
+
+    return F.map_from_entries(let(numbered(F.slice(lines, F.lit(2), F.greatest(F.lit(0), end - 2))), fields))
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -156,6 +180,11 @@ def path_stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
 
 
+def nfkc(lines: Column, content: Column) -> Column:
+    """Compatibility normal form of each line of a text; ASCII is its own, so only other texts leave the JVM."""
+    return F.coalesce(nfkc_lines(F.when(content.rlike(r"[^\x00-\x7F]"), lines)), lines)
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def nfkc_lines(lines: pd.Series) -> pd.Series:
     """Compatibility normal form of each line; there is no built-in for it."""

@@ -7,8 +7,7 @@ result can be cached or written; every rule reads from it.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,26 +36,43 @@ def field(name: str) -> Column:
     return F.coalesce(F.col("fields")[name], F.lit(""))
 
 
+def _missing() -> Column:
+    return F.array_compact(F.array(*[F.when(text.is_blank(field(n)), F.lit(n)) for n in sorted(fixed.REQUIRED_FIELDS)]))
+
+
+def _bad(tests: dict[str, Column]) -> Column:
+    """array<struct<field, value>> of the filled fields for which the test holds."""
+    return F.array_compact(F.array(*[F.when(~text.is_blank(field(f)) & bad, F.struct(F.lit(f).alias("field"), text.unquote(field(f)).alias("value"))) for f, bad in tests.items()]))
+
+
+def _bad_enums(c: Corpus) -> Column:
+    domains = {"page_type": list(c.config["page_families"].values()), "reliability": [*fixed.RELIABILITY, "unknown"], "sensitivity": [*fixed.SENSITIVITY, "unknown"]}
+    return _bad({f: ~text.unquote(field(f)).isin(*d) for f, d in domains.items()})
+
+
+def _bad_dates() -> Column:
+    return _bad({f: ~text.is_date(text.unquote(field(f))) for f in ("created", "updated")})
+
+
+def _mismatched() -> Column:
+    return ~text.is_blank(field("page_type")) & (text.unquote(field("page_type")) != F.col("expected_type"))
+
+
 def missing_frontmatter(c: Corpus) -> DataFrame:
-    missing = F.array_compact(F.array(*[F.when(text.is_blank(field(n)), F.lit(n)) for n in sorted(fixed.REQUIRED_FIELDS)]))
-    return c.pages.select("path", missing.alias("missing")).where("size(missing) > 0")
+    return c.pages.select("path", _missing().alias("missing")).where("size(missing) > 0")
 
 
 def invalid_enum(c: Corpus) -> DataFrame:
     """A page type beyond the configured ones; a reliability or sensitivity beyond its domain and 'unknown'."""
-    domains = {"page_type": list(c.config["page_families"].values()), "reliability": [*fixed.RELIABILITY, "unknown"], "sensitivity": [*fixed.SENSITIVITY, "unknown"]}
-    bad = [F.when(~text.is_blank(field(f)) & ~text.unquote(field(f)).isin(*d), F.struct(F.lit(f).alias("field"), text.unquote(field(f)).alias("value"))) for f, d in domains.items()]
-    return c.pages.select("path", F.inline(F.array_compact(F.array(*bad))))
+    return c.pages.select("path", F.inline(_bad_enums(c)))
 
 
 def page_type_mismatches(c: Corpus) -> DataFrame:
-    actual = text.unquote(field("page_type"))
-    return c.pages.where(~text.is_blank(field("page_type")) & (actual != F.col("expected_type"))).select("path", F.col("expected_type").alias("expected"), actual.alias("actual"))
+    return c.pages.where(_mismatched()).select("path", F.col("expected_type").alias("expected"), text.unquote(field("page_type")).alias("actual"))
 
 
 def invalid_date(c: Corpus) -> DataFrame:
-    bad = [F.when(~text.is_blank(field(f)) & ~text.is_date(text.unquote(field(f))), F.struct(F.lit(f).alias("field"), text.unquote(field(f)).alias("value"))) for f in ("created", "updated")]
-    return c.pages.select("path", F.inline(F.array_compact(F.array(*bad))))
+    return c.pages.select("path", F.inline(_bad_dates()))
 
 
 def hard_cap_exceeded(c: Corpus) -> DataFrame:
@@ -70,7 +86,7 @@ def soft_cap_exceeded(c: Corpus) -> DataFrame:
 
 
 def raw_references(sources: Column) -> Column:
-    found = F.regexp_extract_all(sources, F.lit(r"""(?U)(?<![A-Za-z0-9_./-])((?:wiki/)?raw/[^\s,\]\}"']+)"""), F.lit(1))
+    found = F.regexp_extract_all(sources, F.lit(fixed.RAW_REFERENCE), F.lit(1))
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"[.)]+\z", ""), "^wiki/", ""))))
 
 
@@ -89,8 +105,7 @@ def broken_source_references(c: Corpus) -> DataFrame:
 def leaked_lines(lines: Column, end: Column) -> Column:
     """Numbers of list items of a header that stand after its end, outside fences."""
     body = text.outside_fences(F.slice(lines, end + 1, F.size(lines)))
-    item = r"""(?U)^\s+- "(?:(?:wiki/)?(?:sources|raw)/[^"]+|conversation:[^"]+)"\s*$"""
-    return F.when(end > 0, F.transform(F.filter(body, lambda x: x["line"].rlike(item)), lambda x: x["n"] + end)).otherwise(F.array().cast("array<int>"))
+    return F.when(end > 0, F.transform(F.filter(body, lambda x: x["line"].rlike(fixed.LEAKED_ITEM)), lambda x: x["n"] + end)).otherwise(F.array().cast("array<int>"))
 
 
 def frontmatter_leaked_into_body(c: Corpus) -> DataFrame:
@@ -98,7 +113,7 @@ def frontmatter_leaked_into_body(c: Corpus) -> DataFrame:
 
 
 def placeholders(seen: Column) -> Column:
-    found = F.flatten(F.transform(seen, lambda x: F.concat(F.regexp_extract_all(x["line"], F.lit("<[A-Za-z][A-Za-z0-9 _-]*>"), F.lit(0)), F.regexp_extract_all(x["line"], F.lit(r"\{\{[A-Z_]+\}\}"), F.lit(0)))))
+    found = F.flatten(F.transform(seen, lambda x: F.concat(F.regexp_extract_all(x["line"], F.lit(fixed.ANGLE_PLACEHOLDER), F.lit(0)), F.regexp_extract_all(x["line"], F.lit(fixed.BRACE_PLACEHOLDER), F.lit(0)))))
     return F.array_sort(F.array_distinct(found))
 
 
@@ -129,19 +144,33 @@ def pending_review(lines: Column) -> Column:
 def _aged(c: Corpus) -> DataFrame:
     raw = text.unquote(field("updated"))
     when = F.when(text.is_date(raw), F.try_to_date(raw, "yyyy-MM-dd"))
-    return c.pages.withColumn("updated", raw).withColumn("days", F.datediff(F.to_date(F.lit(c.today)), when)).where("days is not null")
+    return c.pages.withColumn("updated", raw).withColumn("days", F.datediff(F.to_date(F.lit(c.today)), when))
+
+
+def _stale(c: Corpus) -> dict[str, Column]:
+    """Of aged pages: whether each rule on their age holds."""
+    limit = c.config["staleness_days"]
+    return {
+        "stale_low_reliability": (text.unquote(field("reliability")) == "low") & (F.col("days") > limit["low_reliability"]),
+        "cold_pages": F.col("days") > limit["cold_page"],
+        "stale_pending_review": (F.col("days") > limit["pending_review"]) & pending_review(F.col("lines")),
+    }
+
+
+def _stale_pages(c: Corpus, rule: str) -> DataFrame:
+    return _aged(c).where(_stale(c)[rule]).select("path", "updated", "days")
 
 
 def stale_low_reliability(c: Corpus) -> DataFrame:
-    return _aged(c).where((text.unquote(field("reliability")) == "low") & (F.col("days") > c.config["staleness_days"]["low_reliability"])).select("path", "updated", "days")
+    return _stale_pages(c, "stale_low_reliability")
 
 
 def cold_pages(c: Corpus) -> DataFrame:
-    return _aged(c).where(F.col("days") > c.config["staleness_days"]["cold_page"]).select("path", "updated", "days")
+    return _stale_pages(c, "cold_pages")
 
 
 def stale_pending_review(c: Corpus) -> DataFrame:
-    return _aged(c).where((F.col("days") > c.config["staleness_days"]["pending_review"]) & pending_review(F.col("lines"))).select("path", "updated", "days")
+    return _stale_pages(c, "stale_pending_review")
 
 
 def duplicate_slugs(c: Corpus) -> DataFrame:
@@ -254,20 +283,106 @@ def page_summary(c: Corpus) -> DataFrame:
     return c.pages.select("path", F.col("expected_type").alias("page_type"), "slug", F.col("n_lines").alias("lines"), known("reliability").alias("reliability"), known("sensitivity").alias("sensitivity"), known("updated").alias("updated"))
 
 
+def _narrow(c: Corpus) -> dict[str, Column]:
+    """Of an aged page: how many findings each rule that looks at one page alone has."""
+    caps = c.config["caps"]
+    has = {
+        "page_type_mismatches": _mismatched(),
+        "hard_cap_exceeded": F.col("n_lines") > caps["hard_lines"],
+        "soft_cap_exceeded": F.col("n_lines") > caps["soft_lines"],
+        "missing_frontmatter": F.size(_missing()) > 0,
+        "template_placeholders": F.size(placeholders(F.col("seen"))) > 0,
+        **_stale(c),
+    }
+    n = {k: F.when(v, 1).otherwise(0) for k, v in has.items()}
+    return n | {"invalid_enum": F.size(_bad_enums(c)), "invalid_date": F.size(_bad_dates()), "frontmatter_leaked_into_body": F.size(leaked_lines(F.col("lines"), F.col("header_end")))}
+
+
+_FACT = "array<struct<space:string,key:string,role:string,path:string,src:string,n:long>>"
+
+
+def _fact(space: str, key: Column, role: str, path: Column | None = None, src: Column | None = None, n: Column | int = 1) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(
+        F.lit(space).alias("space"), key.alias("key"), F.lit(role).alias("role"), (none if path is None else path).alias("path"),
+        (none if src is None else src).alias("src"), (F.lit(n) if isinstance(n, int) else n).cast("long").alias("n"),
+    )
+
+
+def _facts(c: Corpus) -> DataFrame:
+    """space, key, role, path, src, n: all that the rules ask of pages, files and indexes, each read once.
+
+    Spaces: N counts of a page's own rules; S slugs; L names that links go to; R
+    references to raw files; I index membership by family and name; E entries.
+    """
+    path, family = F.col("path"), F.col("family")
+    own = F.array_distinct(F.array("slug", path, path.substr(F.lit(1), F.length(path) - 3)))
+    member = lambda f, key: F.concat_ws("\x1f", f, key)
+    pages = _aged(c).select(
+        F.inline(
+            F.concat(
+                F.array(*[_fact("N", F.lit(k), "count", n=n) for k, n in _narrow(c).items()], _fact("S", F.col("slug"), "page")).cast(_FACT),
+                F.transform(text.links(F.col("seen")), lambda x: _fact("L", x["target"], "link", src=path)).cast(_FACT),
+                F.transform(raw_references(field("sources")), lambda x: _fact("R", normal_path(x), "link")).cast(_FACT),
+                F.transform(own, lambda k: _fact("L", k, "page", path=path)).cast(_FACT),
+                F.transform(own, lambda k: _fact("I", member(family, k), "page", path=path)).cast(_FACT),
+            )
+        )
+    )
+    files = target_keys(c.files).select(F.inline(F.array(_fact("L", F.col("target"), "file")).cast(_FACT)))
+    files = files.union(c.files.select(F.inline(F.array(_fact("R", F.col("path"), "file")).cast(_FACT))))
+    seen = text.visible(text.split_lines(text.drop_bom(F.col("text"))))
+    indexes = text.once(c.indexes, seen=seen).withColumn("entries", text.primary_entries(F.col("seen")))
+    root, prefix = c.config["index"]["root"], c.config["index"]["shard_prefix"]
+    shard = F.regexp_extract("path", "^" + prefix.replace(".", r"\.") + r"(.*)\.md$", 1)
+    families = F.when(path == root, F.array(*[F.lit(f) for f in c.config["page_families"]])).otherwise(F.array(shard))
+    indexes = indexes.select(
+        F.inline(
+            F.concat(
+                F.transform(text.links(F.col("seen")), lambda x: _fact("L", x["target"], "index")).cast(_FACT),
+                F.transform("entries", lambda x: _fact("E", F.substring_index(x["target"], "/", -1), "entry")).cast(_FACT),
+                F.flatten(F.transform("entries", lambda x: F.transform(families, lambda f: _fact("I", member(f, x["target"]), "entry")))).cast(_FACT),
+            )
+        )
+    )
+    return pages.union(files).union(indexes)
+
+
 def finding_counts(c: Corpus) -> DataFrame:
     """severity, kind, position (as reports order kinds), n; kinds without findings are left out.
 
-    Seventeen rules read the parsed pages, which are kept meanwhile; the result is one row of each kind.
+    One plan that reads each page once.  What pages, files and indexes say of a
+    name is summed up before it meets, so a name that a third of all links go to
+    is a few rows; names meet in one window, and pages in one aggregate.
     """
-    kept = c.pages.persist()
-    c = replace(c, pages=kept)
-    kinds = [("error", k, fixed.ERROR_KINDS.index(k), f) for k, f in ERRORS.items()] + [("warning", k, fixed.WARNING_KINDS.index(k), f) for k, f in WARNINGS.items()]
-    # A job for each kind, side by side: one union of them all takes longer to plan than to run.
-    with ThreadPoolExecutor(8) as pool:
-        counts = list(pool.map(lambda kind: kind[3](c).count(), kinds))
-    kept.unpersist()
-    rows = [(s, k, p, n) for (s, k, p, _), n in zip(kinds, counts, strict=True) if n]
-    return kept.sparkSession.createDataFrame(rows, "severity string, kind string, position int, n long")
+    # A link's source tells whether any other page links a name: its least and its greatest.
+    told = _facts(c).groupBy("space", "key", "role", "path").agg(F.sum("n").alias("n"), F.min("src").alias("lo"), F.max("src").alias("hi"))
+    name = Window.partitionBy("space", "key")
+
+    def is_(space: str, *roles: str) -> Column:
+        return (F.col("space") == space) & F.col("role").isin(*roles)
+
+    there = F.max(F.col("role").isin("file", "entry")).over(name)
+    told = told.select("space", "key", "role", "path", "n", there.alias("there"), F.min("lo").over(name).alias("lo"), F.max("hi").over(name).alias("hi"))
+    kind = (
+        F.when(is_("N", "count"), F.col("key"))
+        .when(is_("S", "page") & (F.col("n") > 1), "duplicate_slugs")
+        .when(is_("E", "entry") & (F.col("n") > 1), "duplicate_index_entries")
+        .when(is_("L", "link", "index") & ~F.col("there"), "broken_wikilinks")
+        .when(is_("R", "link") & ~F.col("there"), "broken_source_references")
+        .when(is_("L", "page"), "orphans")
+        .when(is_("I", "page"), "missing_index_entries")
+    )
+    other = F.coalesce((F.col("lo") != F.col("path")) | (F.col("hi") != F.col("path")), F.lit(False))
+    good = F.when(F.col("space") == "L", other).otherwise(F.col("there"))
+    n = F.when(F.col("space").isin("S", "E"), 1).otherwise(F.col("n"))
+    # A page is good if it is by any of its names.
+    by_page = told.select(kind.alias("kind"), "path", good.alias("good"), n.alias("n")).where("kind is not null").groupBy("kind", "path").agg(F.sum("n").alias("n"), F.max("good").alias("good"))
+    out = by_page.groupBy("kind").agg(F.sum(F.when(F.col("path").isNull(), F.col("n")).when(F.col("good"), 0).otherwise(1)).cast("long").alias("n"))
+    kinds = [(severity, k, names.index(k)) for severity, names in (("error", fixed.ERROR_KINDS), ("warning", fixed.WARNING_KINDS)) for k in names]
+    place = F.create_map(*[x for s, k, p in kinds for x in (F.lit(k), F.struct(F.lit(s).alias("severity"), F.lit(p).alias("position")))])
+    out = out.where("n > 0").withColumn("of", place[F.col("kind")])
+    return out.select("of.severity", "kind", "of.position", "n")
 
 
 def occurrences_in_order(rows: DataFrame, by: str, order: list[str], keep: int) -> DataFrame:

@@ -146,8 +146,9 @@ def scan_stdin(docs: DataFrame) -> DataFrame:
 
 def _records(rows: DataFrame) -> DataFrame:
     # Normalisation is by line, after splitting; only it leaves the JVM.
-    lines = text.nfkc_lines(text.split_lines(F.when(F.col("why").isNull(), F.col("text")).otherwise("")))
-    rows = text.once(rows.withColumn("lines", lines), findings=findings_of(F.col("lines")))
+    read = F.when(F.col("why").isNull(), F.col("text")).otherwise("")
+    rows = text.once(rows, plain=text.split_lines(read))
+    rows = text.once(rows.withColumn("lines", text.nfkc(F.col("plain"), read)), findings=findings_of(F.col("lines")))
     status = F.coalesce("why", F.when(F.size("findings") > 0, "blocked").otherwise("pass"))
     return rows.select("path", status.alias("status"), "findings", F.when(F.col("why").isNull(), source_binding(F.col("text"))).alias("source"))
 
@@ -162,15 +163,24 @@ def explode_allowlist(entries: DataFrame) -> DataFrame:
     return entries.select("path", "sha256", F.explode("reason_codes").alias("reason_code")).distinct()
 
 
-def apply_allowlist(records: DataFrame, entries: DataFrame, relative: Column | None = None) -> DataFrame:
+def apply_allowlist(records: DataFrame, entries: DataFrame, names: Column | DataFrame | None = None) -> DataFrame:
     """records with findings split into kept and allowed.
 
-    A finding is allowed by path (as given, or ``relative`` to the configuration's
-    folder), hash of the current text, and reason.  Only blocked records meet the list.
+    A finding is allowed by path, hash of the current text, and reason.  The
+    path is that of the record, or ``names``: another one for each record (a
+    column, or a column over records beside their own path), or a table (path,
+    listed, below) of the only ones it goes by.  Only blocked records meet the
+    list.
     """
     allow = explode_allowlist(entries).groupBy("path", "sha256").agg(F.collect_set("reason_code").alias("codes"))
-    paths = F.array_distinct(F.array(F.col("path"), *([F.coalesce(relative, F.col("path"))] if relative is not None else [])))
-    keys = records.where("status = 'blocked'").select(F.col("path").alias("of"), F.explode(paths).alias("path"), F.col("source.sha256").alias("sha256"))
+    blocked = records.where("status = 'blocked'")
+    if isinstance(names, DataFrame):
+        # Inner names are few: a row for each file of a command line.
+        paths = F.array_distinct(F.array_compact(F.array("listed", "below")))
+        blocked = blocked.join(names, "path")
+    else:
+        paths = F.array_distinct(F.array(F.col("path"), *([F.coalesce(names, F.col("path"))] if names is not None else [])))
+    keys = blocked.select(F.col("path").alias("of"), F.explode(paths).alias("path"), F.col("source.sha256").alias("sha256"))
     codes = keys.join(allow, ["path", "sha256"]).groupBy("of").agg(F.flatten(F.collect_list("codes")).alias("codes"))
     out = records.join(codes, F.col("path") == F.col("of"), "left").withColumn("codes", F.when(F.col("status") == "blocked", F.col("codes")))
     none = text.no_strings()
@@ -209,6 +219,15 @@ def visible_records(records: DataFrame, quiet: bool) -> DataFrame:
     return records.where(F.col("status").isin("blocked", "error")) if quiet else records
 
 
+def text_lines(record: dict) -> list[str]:
+    """What a terminal shows of a record: its status, and where it is blocked, each finding."""
+    allowed = len(record.get("allowed") or ())
+    out = [f"- {record['path']}: {record['status']}" + (f" ({allowed} allowed by allowlist)" if allowed and record["status"] == "pass" else "")]
+    if record["status"] == "blocked":
+        out += [f"  - line {f['line']}: {f['category']}/{f['reason_code']}" for f in record["findings"]]
+    return out
+
+
 def as_json(records: DataFrame) -> DataFrame:
     """One JSON object for each record, fields in alphabetical order."""
     return records.select(F.to_json(F.struct(*sorted(records.columns))).alias("json"))

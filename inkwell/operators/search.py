@@ -2,8 +2,9 @@
 
 An index is three DataFrames: postings (doc, term, tf), documents with their
 length, and one row of corpus totals.  A search touches only the postings of
-its terms (a pushed-down filter when the index is stored by term), aggregates
-per document and takes the top k.
+its terms: a pushed-down filter where the index is stored by term, and where it
+is not, other words leave a document's array before anything is exploded or
+shuffled.  Hits are aggregated per document, and the top k taken.
 """
 
 from __future__ import annotations
@@ -21,6 +22,14 @@ class SearchIndex:
     postings: DataFrame  # doc, term, tf
     docs: DataFrame  # doc, family, title, length
     totals: DataFrame  # n, average
+    words: DataFrame | None = None  # doc, words array<struct<term, w>>, of an index that is not written
+
+    def hits(self, terms: list[str]) -> DataFrame:
+        """The postings of the terms."""
+        if self.words is None:
+            return self.postings.where(F.col("term").isin(*terms))
+        wanted = F.filter("words", lambda x: x["term"].isin(*terms))
+        return self.words.select("doc", F.inline(wanted)).groupBy("doc", "term").agg(F.sum("w").alias("tf"))
 
     def write(self, path: str) -> None:
         """Postings sorted by term, so that a search reads the row groups of its terms only."""
@@ -52,7 +61,7 @@ def parse_page(content: Column) -> tuple[Column, Column]:
     head = F.when(~opens, text.no_strings()).when(at > 0, F.slice(rest, F.lit(1), at - 1)).otherwise(rest)
     key = r"^([\p{L}\p{N}_]+):\s*(.*)$"
     pairs = F.transform(F.filter(head, lambda x: x.rlike(key)), lambda x: F.struct(F.regexp_extract(x, key, 1).alias("k"), text.strip(F.regexp_extract(x, key, 2)).alias("v")))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
+    last = text.let(pairs, lambda all_: F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda y: y["k"] == x["k"])))
     body = F.when(~opens, content).when(at > 0, F.array_join(F.slice(rest, at + 1, F.size(rest)), "\n")).otherwise("")
     return F.map_from_entries(last), body
 
@@ -74,12 +83,12 @@ def build_index(docs: DataFrame) -> SearchIndex:
         return lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w"))
 
     weighted = F.concat(*[F.transform(x, weigh(fixed.FIELD_WEIGHTS[n])) for n, x in fields.items()])
-    tokens = docs.select("doc", F.inline(weighted))
-    postings = tokens.groupBy("doc", "term").agg(F.sum("w").alias("tf"))
+    words = docs.select("doc", weighted.alias("words"))
+    postings = words.select("doc", F.inline("words")).groupBy("doc", "term").agg(F.sum("w").alias("tf"))
     length = sum(fixed.FIELD_WEIGHTS[n] * F.size(x) for n, x in fields.items()).cast("long")
     lengths = docs.select("doc", "family", "title", length.alias("length"))
     totals = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average"))
-    return SearchIndex(postings, lengths, totals)
+    return SearchIndex(postings, lengths, totals, words)
 
 
 def query_terms(query: str) -> Column:
@@ -87,16 +96,20 @@ def query_terms(query: str) -> Column:
     return F.array_distinct(text.tokens(F.lit(query)))
 
 
+def terms_of(spark, query: str) -> list[str]:
+    """The query's terms on the driver: a row of constants, which needs no job."""
+    return spark.sql("SELECT 1").select(query_terms(query)).first()[0]
+
+
 def document_frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def score(index: SearchIndex, query: str) -> DataFrame:
     """doc, family, title, score, matched (terms in the query's order) of every document with a term of the query."""
-    spark = index.docs.sparkSession
-    # As many rows as the query has terms.
-    terms = F.broadcast(spark.range(1).select(F.posexplode(query_terms(query)).alias("pos", "term")))
-    hits = index.postings.join(terms, "term")
+    terms = terms_of(index.docs.sparkSession, query)
+    place = F.array_position(F.array(*[F.lit(t) for t in terms]).cast("array<string>"), F.col("term")).cast("int") - 1
+    hits = index.hits(terms).withColumn("pos", place)
     # At most a row for each term of the query.
     df = F.broadcast(document_frequencies(hits.select("doc", "term")))
     # One row of totals.

@@ -1,3 +1,4 @@
+import time
 import random
 import re
 import unicodedata
@@ -94,3 +95,16 @@ def test_dates(spark):
 def test_nfkc(spark):
     xs = ["ﬁ ＡＢＣ", "é", "①"]
     assert column(spark, xs, lambda c: text.nfkc_lines(F.array(c))) == [[unicodedata.normalize("NFKC", x)] for x in xs]
+
+
+def test_long_pages_with_fences_and_headers(spark):
+    """Thousands of lines in and around fences, and headers of many lines, in time that does not grow with their square."""
+    body = ["```", "x"] * 1 + ["in"] * 20_000 + ["```"] + ["out"] * 20_000 + ["~~~~", "```", "~~~", "~~~~~  "] + ["out"] * 10
+    head = ["---"] + [f"k{i}: v" if i % 50 == 0 else f"  more {i}" for i in range(5000)] + ["k0: last", "---"]
+    df = spark.createDataFrame([("\n".join(body), "\n".join(head))], "b string, h string")
+    start = time.time()
+    df = text.once(df, b=text.split_lines(F.col("b")), h=text.split_lines(F.col("h"))).toDF("text_b", "text_h", "b", "h")
+    row = df.select(text.outside_fences(F.col("b")).alias("kept"), text.header(F.col("h"), text.closing_line(F.col("h"))).alias("fields")).first()
+    assert time.time() - start < 30
+    assert {x.line for x in row.kept} == {"out"} and len(row.kept) == 20_010 and row.kept[0].n == 20_004
+    assert row.fields["k0"] == "last" and len(row.fields) == 100 and row.fields["k50"].startswith("v\n  more 51\n")
