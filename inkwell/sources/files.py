@@ -18,10 +18,16 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 
 SCHEMA = "path string, length long, content binary"
+#: Bytes of files that a worker holds at once.
+FRAME_BYTES = 16 << 20
 
 
 def list_tree(spark: SparkSession, root: str | Path) -> DataFrame:
-    """path (below root, with slashes), length, content of every file, dotfiles and underscored folders too."""
+    """path (below root, with slashes), length, content of every file, dotfiles and underscored folders too.
+
+    The root must be on a file system that driver and executors all see, as a
+    mounted share is; the built-in readers would reach further but hide names.
+    """
     root = Path(root)
     rows = []
     for folder, _, names in os.walk(root):
@@ -33,8 +39,10 @@ def list_tree(spark: SparkSession, root: str | Path) -> DataFrame:
 
     def load(batches):
         for pdf in batches:
-            pdf["content"] = [Path(p).read_bytes() if os.access(p, os.R_OK) else None for p in pdf["place"]]
-            yield pdf[["path", "length", "content"]]
+            # By bytes, so that no frame holds many files' contents at once; a larger file is a frame of its own.
+            for _, some in pdf.groupby((pdf["length"].cumsum() // FRAME_BYTES).to_numpy()):
+                content = [Path(p).read_bytes() if os.access(p, os.R_OK) else None for p in some["place"]]
+                yield some[["path", "length"]].assign(content=content)
 
     return files.repartition(max(1, min(64, len(rows) // 64))).mapInPandas(load, SCHEMA)
 
@@ -142,6 +150,47 @@ def load_config(path: str | Path | None) -> dict:
     return out
 
 
+def configured_allowlist(config: Path) -> Path | None:
+    """Where a configuration has its allowlist, from its own folder; none if it is unreadable or names none."""
+    try:
+        said = json.loads(config.read_text(encoding="utf-8"))
+    except (OSError, ValueError):
+        return None
+    section = said.get("privacy") if isinstance(said, dict) else None
+    name = section.get("allowlist") if isinstance(section, dict) else None
+    return config.parent / name if isinstance(name, str) and name else None
+
+
+def configured_families(config: str | Path | None) -> dict[str, str]:
+    """Page families as the search and the scaffolder take them: the defaults where the configuration has none or is unreadable."""
+    try:
+        said = json.loads(Path(config).read_text(encoding="utf-8")) if config else {}
+    except (OSError, ValueError):
+        said = {}
+    families = said.get("page_families") if isinstance(said, dict) else None
+    return dict(families) if isinstance(families, dict) and families else dict(fixed.PAGE_FAMILIES)
+
+
+def ledger_settings(path: str | Path | None, start: str | Path) -> dict:
+    """taxonomy and destinations of a ledger: a named configuration must be readable, one found on the way up need not be."""
+    out = {"taxonomy": fixed.TAXONOMY_VERSION, "destinations": []}
+    place = path or find_config([start, Path.cwd()], fixed.CONFIG_NAME)
+    if place is None:
+        return out
+    try:
+        said = json.loads(Path(place).read_text(encoding="utf-8"))
+    except (OSError, ValueError) as e:
+        if path:
+            raise ConfigError("the configuration is not readable") from e
+        return out
+    section = lambda x, name: x[name] if isinstance(x, dict) and isinstance(x.get(name), dict) else {}
+    version = section(said, "privacy").get("taxonomy_version")
+    if isinstance(version, str):
+        out["taxonomy"] = version
+    out["destinations"] = sorted(section(section(said, "share"), "destinations"))
+    return out
+
+
 class AllowlistError(ValueError):
     """An allowlist that is there but malformed."""
 

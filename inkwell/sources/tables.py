@@ -4,19 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Sizes between which a table in fewer files than there are cores is dealt to all of them first.
-SPREAD = (1 << 20, 64 << 20)
-
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table.
+    """A Parquet table, as its files' splits have it.
 
-    A file can only be split at its row groups, so a small table in one file
-    would keep one core busy with all its text.  Larger tables stay as they
-    are: their row groups are enough, and a shuffle would cost more.
+    Only a table with fewer splits than there are cores is dealt to all of them
+    first, as one core would have all its text: that is less than a split
+    (``spark.sql.files.maxPartitionBytes``) for each core to move.
     """
     df = spark.read.parquet(path)
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     cores = spark.sparkContext.defaultParallelism
-    small = SPREAD[0] <= int(str(size)) <= SPREAD[1]
-    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
