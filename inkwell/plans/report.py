@@ -31,6 +31,15 @@ def build(c: Corpus, inbox: list[str] = (), last_log_entry: str | None = None) -
     }
 
 
+def counted(c: Corpus, inbox, last_log_entry: str | None = None) -> dict:
+    """What a brief tells, from aggregates alone: a row of each family and kind."""
+    pages = {r["family"]: r["pages"] for r in lint.counts_per_family(c).collect()}
+    kinds = sorted(lint.finding_counts(c).collect(), key=lambda r: r.position)
+    by = {s: {r.kind: r.n for r in kinds if r.severity == s} for s in ("error", "warning")}
+    counts = {f: pages.get(f, 0) for f in c.config["page_families"]} | {"total": pages.get("total", 0)}
+    return {"counts": counts, "errors": by["error"], "warnings": by["warning"], "inbox": inbox.count(), "last": last_log_entry}
+
+
 def config_error(message: str) -> dict:
     """A report of the usual shape for a configuration that cannot be used."""
     return {
@@ -60,17 +69,22 @@ def _pages(report: dict) -> str:
 
 
 def _files(report: dict) -> str:
-    n = len(report["info"]["inbox_files"])
+    return _waiting(len(report["info"]["inbox_files"]))
+
+
+def _waiting(n: int) -> str:
     return f"{n} file{'' if n == 1 else 's'} in raw/inbox"
 
 
 def brief(report: dict) -> str:
-    errors, warnings = totals(report)
-    lines = [f"Wiki: {_pages(report)} · {errors} errors · {warnings} warnings · {_files(report)}", f"Last log: {report['info']['last_log_entry'] or 'none'}"]
-    for section in ("warnings", "errors"):
-        some = [f"{k} {len(v)}" for k, v in report[section].items() if v]
-        if some:
-            lines.append(f"{section.capitalize()}: {', '.join(some)}")
+    some = {s: {k: len(v) for k, v in report[s].items() if v} for s in ("errors", "warnings")}
+    return counted_brief({"counts": report["counts"], **some, "inbox": len(report["info"]["inbox_files"]), "last": report["info"]["last_log_entry"]})
+
+
+def counted_brief(told: dict) -> str:
+    sums = [f"{sum(told[s].values())} {s}" for s in ("errors", "warnings")]
+    lines = [f"Wiki: {' · '.join([_pages(told), *sums, _waiting(told['inbox'])])}", f"Last log: {told['last'] or 'none'}"]
+    lines += [f"{s.capitalize()}: {', '.join(f'{k} {n}' for k, n in told[s].items())}" for s in ("warnings", "errors") if told[s]]
     return "\n".join(lines) + "\n"
 
 

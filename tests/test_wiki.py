@@ -190,5 +190,9 @@ def test_slugs_and_templates(spark):
     df = spark.createDataFrame([(x,) for x in good + bad], "s string")
     assert [r.s for r in df.where(gate.valid_slug(df.s)).collect()] == good
     template = '---\ntitle: "<entity name>"\ncreated: <YYYY-MM-DD>\ntags: []\nreliability: medium\nsensitivity: x\nsources: []\n---\n# <Entity name>\nreliability: medium\n[<file>](../raw/<file>)\n'
-    out = gate.render_page(template, "entity", 'A "b"', "2025-01-02", ["t", "u"], "high", "public", ["raw/f.md", "x"])
+    schema = "template string, page_type string, title string, day string, tags array<string>, reliability string, sensitivity string, sources array<string>"
+    asked = [(template, "entity", 'A "b"', "2025-01-02", ["t", "u"], "high", "public", ["raw/f.md", "x"]), (template, "other", "é\U0001f600\n", "x", None, "low", "y", None), (template, "entity", "é\U0001f600\t\\\x7f", "x", [], "low", "y", [])]
+    out, plain, escaped = (r.text for r in gate.new_pages(spark.createDataFrame(asked, schema)).collect())
+    assert plain == template.replace("<YYYY-MM-DD>", "x").replace("sensitivity: x", "sensitivity: y").replace("reliability: medium", "reliability: low", 1)
+    assert escaped.split("\n")[1] == "title: " + json.dumps("é\U0001f600\t\\\x7f")
     assert out == '---\ntitle: "A \\"b\\""\ncreated: 2025-01-02\ntags: [t, u]\nreliability: high\nsensitivity: public\nsources: ["raw/f.md", "x"]\n---\n# A "b"\nreliability: medium\n[f.md](../raw/f.md)\n'
