@@ -151,6 +151,8 @@ def scan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: One row of each seed with its number, for SQL.
 SEED_VALUES = "(VALUES " + ", ".join(f"({i}, {repr(c) if c else 'NULL'}, {repr(CATEGORY[c]) if c else 'NULL'})" for i, (_, c) in enumerate(SEEDS)) + ") AS s(k, reason_code, category)"
+#: The same with the lines themselves.
+SEED_LINES = "(VALUES " + ", ".join(f"({i}, '{t}', {repr(c) if c else 'NULL'})" for i, (t, c) in enumerate(SEEDS)) + ") AS s(k, seed, reason_code)"
 
 
 def ledgers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

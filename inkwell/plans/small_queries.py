@@ -9,7 +9,7 @@ from ..functions import fixed, text
 from ..operators import gate, ledger, lint, scan, search
 from . import derived
 from .derived import LEDGER_FACTS
-from .queries import _LAST_S, _N_LINES, _RULES, _SEEDED, QUERY, TERMS, _changes, events, index, pages, query, read
+from .queries import _FOUND, _LAST_S, _N_LINES, _RULES, QUERY, TERMS, _changes, events, index, pages, query, read
 
 
 def docs(spark, sf_dir):
@@ -76,11 +76,14 @@ def ag19_inbox_count(spark, sf_dir):
     return inbox(derived.file_paths(spark, sf_dir)).agg(F.count("*").alias("files"))
 
 
-@query("SELECT event_id, event_type || ' ' || CAST(event_id AS VARCHAR) AS entry FROM events WHERE event_id % 3 = 0")
+@query("SELECT CAST(n AS INTEGER) AS line_no, '[' || event_type || '] ' || CAST(event_id AS VARCHAR) AS entry FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE event_id % 3 = 0")
 def pj22_log_entries(spark, sf_dir):
-    """SC10 and PJ22: heading lines of a log, without their marks."""
-    e = read(spark, sf_dir, "events").select("event_id", F.concat(F.when(F.col("event_id") % 3 == 0, "## [").otherwise("# ["), "event_type", F.lit(" "), F.col("event_id").cast("string")).alias("line"))
-    return e.where(F.col("line").startswith("## [")).select("event_id", F.regexp_replace(text.strip(F.col("line").substr(F.lit(4), F.length("line"))), r"^\[", "").alias("entry"))
+    """SC10 and PJ22: a log for each user, of which the lines that begin an entry are read."""
+    from ..sources.files import log_entries
+
+    line = F.concat(F.when(F.col("event_id") % 3 == 0, "## [").when(F.col("event_id") % 3 == 1, " ## [").otherwise("### ["), "event_type", F.lit("] "), F.col("event_id").cast("string"), F.lit("  "))
+    logs = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    return log_entries(logs)
 
 
 # ---- parsers ----
@@ -120,12 +123,43 @@ def pj17_path_parts(spark, sf_dir):
     return parsed(spark, sf_dir).select("path", text.path_stem(F.col("path")).alias("stem"), F.regexp_replace("path", "/[^/]*$", "").alias("folder"))
 
 
-@query("SELECT doc_id, CAST(doc_id + 10 AS INTEGER) AS run, CAST(CASE WHEN doc_id % 2 = 1 THEN doc_id ELSE 0 END AS INTEGER) AS failures FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN CAST(n_chars + 1 AS VARCHAR) || ' tests passed' ELSE CAST(greatest(n_chars + 1 - f - e, 0) AS VARCHAR) || '/' || CAST(n_chars + 1 AS VARCHAR) || ' tests passed (' || f || ' failed, ' || e || ' errors)' END AS said FROM (SELECT *, doc_id % 11 + CASE WHEN n_chars % 3 = 1 THEN 1 ELSE 0 END AS f, CASE WHEN n_chars % 3 = 1 THEN 0 ELSE doc_id % 7 + 1 END AS e FROM documents)")
 def pj21_test_summary(spark, sf_dir):
-    n = F.col("doc_id").cast("string")
-    said = F.concat(F.lit("Ran "), (F.col("doc_id") + 10).cast("string"), F.lit(" tests in 0.1s\n\n"), F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("FAILED (failures="), n, F.lit(")"))).otherwise("OK"))
-    count = lambda p: F.coalesce(F.regexp_extract(said, p, 1).try_cast("int"), F.lit(0))
-    return docs(spark, sf_dir).select("doc_id", count(r"Ran (\d+) tests?").alias("run"), count(r"failures=(\d+)").alias("failures"))
+    kind, n = F.col("n_chars") % 3, lambda c: c.cast("string")
+    failures, errors = F.concat(F.lit("failures="), n(F.col("doc_id") % 11 + F.when(kind == 1, 1).otherwise(0))), F.concat(F.lit("errors="), n(F.col("doc_id") % 7 + 1))
+    end = F.when(kind == 0, "OK").when(kind == 1, F.concat(F.lit("FAILED ("), failures, F.lit(")"))).otherwise(F.concat(F.lit("FAILED ("), failures, F.lit(", "), errors, F.lit(")")))
+    said = F.concat(F.lit("....\nRan "), n(F.col("n_chars") + 1), F.lit(" tests in 0.1s\n\n"), end)
+    return docs(spark, sf_dir).select("doc_id", gate.suite_summary(said).alias("said"))
+
+
+_TEMPLATE = 'title: "<entity name>"\ncreated: <YYYY-MM-DD>\ntags: []\nreliability: medium\nsensitivity: x\nsources: []\n# <Entity name>\nreliability: medium <YYYY-MM-DD>\n[<file>](../raw/<file>) [<file>](../raw/<file>)'
+
+
+@query(
+    """SELECT doc_id, 'title: "Doc \\"' || lang || '\\" ' || doc_id || '"' || chr(10) || 'created: ' || d || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'tags: []' ELSE 'tags: [' || source || ', ' || lang || ']' END || chr(10) || 'reliability: ' || r || chr(10) || 'sensitivity: public' || chr(10) || s || chr(10) """
+    """|| '# Doc "' || lang || '" ' || doc_id || chr(10) || 'reliability: medium ' || d || chr(10) || CASE WHEN doc_id % 4 = 1 THEN '[' || doc_id || '.md](../raw/' || doc_id || '.md) [<file>](../raw/<file>)' ELSE '[<file>](../raw/<file>) [<file>](../raw/<file>)' END AS text """
+    """FROM (SELECT *, '2024-01-' || lpad(CAST(n_chars % 28 + 1 AS VARCHAR), 2, '0') AS d, CASE WHEN n_chars % 2 = 0 THEN 'high' ELSE 'low' END AS r, CASE doc_id % 4 WHEN 0 THEN 'sources: []' WHEN 1 THEN 'sources: ["x", "raw/' || doc_id || '.md"]' ELSE 'sources: ["x"]' END AS s FROM documents)"""
+)
+def pj19_new_pages(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    i = F.col("doc_id").cast("string")
+    sources = F.when(F.col("doc_id") % 4 == 0, text.no_strings()).when(F.col("doc_id") % 4 == 1, F.array(F.lit("x"), F.concat(F.lit("raw/"), i, F.lit(".md")))).otherwise(F.array(F.lit("x")))
+    asked = d.select(
+        "doc_id", F.lit(_TEMPLATE).alias("template"), F.lit("entity").alias("page_type"), F.concat(F.lit('Doc "'), "lang", F.lit('" '), i).alias("title"),
+        F.concat(F.lit("2024-01-"), F.lpad((F.col("n_chars") % 28 + 1).cast("string"), 2, "0")).alias("day"), F.when(F.col("doc_id") % 3 != 0, F.array("source", "lang")).alias("tags"),
+        F.when(F.col("n_chars") % 2 == 0, "high").otherwise("low").alias("reliability"), F.lit("public").alias("sensitivity"), sources.alias("sources"),
+    )
+    return gate.new_pages(asked).select("doc_id", "text")
+
+
+@query("SELECT doc_id, lang AS title, CASE WHEN doc_id % 3 = 2 THEN '' ELSE text END AS body FROM documents WHERE text NOT LIKE '%---%'")
+def pj02_search_pages_parsed(spark, sf_dir):
+    """Headers as the search has them: the last of a key counts, and one that is not closed leaves no body."""
+    third = F.col("doc_id") % 3
+    head = F.concat(F.lit("---\ntitle: first\nnot a field\ntitle:  "), "lang", F.when(third == 2, F.lit("\n")).when(third == 1, F.lit(" \n --- \n")).otherwise(F.lit("\n---\n")))
+    d = docs(spark, sf_dir).where(~F.col("text").contains("---")).select("doc_id", F.concat(head, "text").alias("page"))
+    fields, body = search.parse_page(F.col("page"))
+    return d.select("doc_id", fields["title"].alias("title"), body.alias("body"))
 
 
 # ---- filters ----
@@ -204,14 +238,8 @@ def jn14_destinations(spark, sf_dir):
     return docs(spark, sf_dir).where(F.size(F.array_except(wanted, F.array(F.lit("team"), F.lit("board")))) > 0).select("doc_id")
 
 
-@query(f"WITH {_SEEDED} SELECT category, reason_code, count(*) AS n FROM seeded GROUP BY ALL")
+@query(f"{_FOUND} SELECT category, reason_code, count(*) AS n FROM found GROUP BY ALL")
 def ag14_distinct_findings(spark, sf_dir):
-    found = scan.findings(scan.scan(derived.scan_docs(spark, sf_dir))).where("reason_code <> 'payment-card-pan'").distinct()
-    return found.groupBy("category", "reason_code").agg(F.count("*").alias("n"))
-
-
-@query()
-def ag14_distinct_findings_with_cards(spark, sf_dir):
     found = scan.findings(scan.scan(derived.scan_docs(spark, sf_dir))).distinct()
     return found.groupBy("category", "reason_code").agg(F.count("*").alias("n"))
 
@@ -262,32 +290,21 @@ def so02_pages_by_path(spark, sf_dir):
     return parsed(spark, sf_dir).select("path").orderBy("path")
 
 
-@query(f"WITH {_SEEDED} SELECT path, category, reason_code, line FROM seeded ORDER BY category, reason_code, line, path")
+@query(f"{_FOUND} SELECT path, category, reason_code, line FROM found ORDER BY category, reason_code, line, path")
 def so03_findings_in_order(spark, sf_dir):
-    found = scan.findings(scan.scan(derived.scan_docs(spark, sf_dir))).where("reason_code <> 'payment-card-pan'")
+    found = scan.findings(scan.scan(derived.scan_docs(spark, sf_dir)))
     return found.orderBy("category", "reason_code", "line", "path")
 
 
-@query()
-def so03_findings_in_order_with_cards(spark, sf_dir):
-    return scan.findings(scan.scan(derived.scan_docs(spark, sf_dir))).orderBy("category", "reason_code", "line", "path")
-
-
 @query(f"SELECT * FROM ({_RULES}) ORDER BY block_id, rule, ledger_id")
 def so04_ledger_errors_in_order(spark, sf_dir):
     return ledger.validate(*derived.ledgers(spark, sf_dir)).orderBy("block_id", "rule", "ledger_id")
 
 
-@query(f"WITH {_SEEDED} SELECT reason_code, path FROM (SELECT *, row_number() OVER (PARTITION BY reason_code ORDER BY path) AS n FROM seeded) WHERE n <= 10")
+@query(f"{_FOUND} SELECT reason_code, path FROM (SELECT *, row_number() OVER (PARTITION BY reason_code ORDER BY path, line) AS n FROM found) WHERE n <= 10")
 def so05_ten_of_each(spark, sf_dir):
-    found = scan.findings(scan.scan(derived.scan_docs(spark, sf_dir))).where("reason_code <> 'payment-card-pan'")
-    return lint.occurrences_in_order(found, "reason_code", ["path"], fixed.REPORTED_FINDINGS).select("reason_code", "path")
-
-
-@query()
-def so05_ten_of_each_with_cards(spark, sf_dir):
     found = scan.findings(scan.scan(derived.scan_docs(spark, sf_dir)))
-    return lint.occurrences_in_order(found, "reason_code", ["path"], fixed.REPORTED_FINDINGS).select("reason_code", "path")
+    return lint.occurrences_in_order(found, "reason_code", ["path", "line"], fixed.REPORTED_FINDINGS).select("reason_code", "path")
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}')" for i, k in enumerate((*fixed.ERROR_KINDS, *fixed.WARNING_KINDS))) + ") AS k(position, kind)")
@@ -319,6 +336,80 @@ def st06_vocabulary(spark, sf_dir):
     return docs(spark, sf_dir).where(six()("keep", "omit", "explode").isin(*fixed.ACTIONS)).select("doc_id")
 
 
+# ---- placeholders of a copy, file texts ----
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'by {{OWNER_NAME}} since {{START_DATE}}: ' || text ELSE replace(replace('by {{OWNER_NAME}} since {{START_DATE}}: ' || text, '{{OWNER_NAME}}', 'Ann O.'), '{{START_DATE}}', '2024-05-06') END AS text, doc_id % 4 <> 3 AS changed FROM documents")
+def sk08_filled_marks(spark, sf_dir):
+    """Marks in the files that may have them are filled, twice over as once."""
+    path = six()("wiki/LOG.md", "README.md", "CUSTOMIZATIONS.md", "docs/README.md")
+    files = docs(spark, sf_dir).select(F.concat_ws("|", F.col("doc_id").cast("string"), path).alias("key"), path.alias("path"), F.concat(F.lit("by {{OWNER_NAME}} since {{START_DATE}}: "), "text").alias("text"), "doc_id")
+    once = files.groupBy("path").agg(F.lit(0).alias("x")).select("path")
+    filled = gate.fill_marks(files.select("path", F.concat_ws("\x1f", F.col("doc_id").cast("string"), "text").alias("text")), "Ann O.", "2024-05-06")
+    again = gate.fill_marks(filled.select("path", "text"), "Ann O.", "2024-05-06").where("not changed")
+    return again.join(F.broadcast(once), "path", "left_semi").select(F.substring_index("text", "\x1f", 1).cast("long").alias("doc_id"), F.expr("substr(text, instr(text, '\x1f') + 1)").alias("text"), F.col("path").isin(*fixed.MARKED_FILES).alias("changed"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN '' ELSE text END AS text FROM documents")
+def sc05_page_texts(spark, sf_dir):
+    """Texts of files as the health report reads them: what is no UTF-8 is empty."""
+    from ..sources.files import lint_text
+
+    content = F.when(F.col("doc_id") % 5 == 2, F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    return docs(spark, sf_dir).select("doc_id", lint_text(content).alias("text"))
+
+
+@query(pages("SELECT CASE WHEN h % 6 IN (1, 2) THEN 'INDEX.md' ELSE 'x' END AS path, count(*) + sum(CASE WHEN h % 66 = 1 THEN 1 ELSE 0 END) AS entries FROM page_facts WHERE h % 6 IN (1, 2) GROUP BY 1"))
+def sc08_index_entries_of_files(spark, sf_dir):
+    """The root index read from file content, its lines counted."""
+    from ..sources.files import index_documents
+
+    files = derived.index_texts(spark, sf_dir).select("path", F.encode("text", "UTF-8").alias("content"))
+    root = index_documents(files).where("path = 'INDEX.md'")
+    return root.select("path", (F.size(text.split_lines(F.col("text"))) - 2).cast("long").alias("entries"))
+
+
+@query("SELECT doc_id, ok FROM (SELECT doc_id, " + pick("ENTITIES.MD", "a.Md", "a.txt", "README.md", "\u00c9T\u00c9.MD") + " AS name, doc_id % 5 IN (0, 1, 4) AS ok FROM documents) WHERE ok")
+def fn02_folded_names(spark, sf_dir):
+    """Names are told apart without case: suffixes of pages, and the excluded ones."""
+    from ..sources.files import content_pages
+
+    name = six()("ENTITIES.MD", "a.Md", "a.txt", "ReadMe.md", "\u00c9T\u00c9.MD")
+    files = docs(spark, sf_dir).select(F.concat(F.lit("entities/"), F.col("doc_id").cast("string"), F.lit("/"), name).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return content_pages(files).select(F.split("path", "/")[1].cast("long").alias("doc_id"), F.lit(True).alias("ok"))
+
+
+@query("SELECT doc_id, lang || ' fi 1 A' || CAST(doc_id AS VARCHAR) || chr(10) || lang AS line FROM documents")
+def fn06_normal_lines(spark, sf_dir):
+    """Compatibility forms by line: a ligature, a superscript, a full-width letter; plain lines are left alone."""
+    odd = F.concat("lang", F.lit(" \ufb01 \u00b9 \uff21"), F.col("doc_id").cast("string"), F.lit("\n"), "lang")
+    return docs(spark, sf_dir).select("doc_id", F.array_join(text.nfkc(text.split_lines(odd), odd), "\n").alias("line"))
+
+
+@query("SELECT doc_id, source AS value, 'none' AS absent FROM documents")
+def fn22_last_of_a_key(spark, sf_dir):
+    """A header's map keeps the last of a key; what it lacks has a default."""
+    page = F.concat(F.lit("---\nkey: "), "lang", F.lit("\nother: 1\nkey: "), "source", F.lit("\n---\nkey: body"))
+    lines = text.split_lines(page)
+    fields = text.header(lines, text.closing_line(lines))
+    return docs(spark, sf_dir).select("doc_id", fields["key"].alias("value"), F.coalesce(fields["gone"], F.lit("none")).alias("absent"))
+
+
+@query(f"WITH {LEDGER_FACTS} SELECT conv_id AS ledger_id, 'B001' AS blocks FROM (SELECT DISTINCT conv_id FROM blocks) WHERE conv_id % 3 = 0")
+def ag18_blocked_blocks(spark, sf_dir):
+    """Quarantined blocks of valid ledgers: one ledger of one line for each conversation."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id").distinct()
+    third = F.col("conv_id") % 3
+    sha = F.sha2(F.concat(F.lit("line "), F.col("conv_id").cast("string")), 256)
+    held = F.concat(F.lit('"class":"quarantine","action":"omit","confidence":"high","review_state":"blocked","reason_codes":["'), F.when(third == 2, "no-such-reason").otherwise("credentials"), F.lit('"]'))
+    fine = F.lit('"class":"personal","action":"omit","confidence":"high","review_state":"blocked","reason_codes":["personal-data"]')
+    doc = F.concat(F.lit(f'{{"taxonomy_version":"{fixed.TAXONOMY_VERSION}","source_sha256":"'), sha, F.lit('","source_line_count":1,"entries":[{"block_id":"B001","source_locator":"L1-L1",'), F.when(third == 1, fine).otherwise(held), F.lit("}]}"))
+    ledgers = rows.select(F.col("conv_id").alias("ledger_id"), doc.alias("json"))
+    sources = rows.select(F.col("conv_id").alias("ledger_id"), F.concat(F.lit("line "), F.col("conv_id").cast("string")).alias("text"))
+    blocked = ledger.blocked_blocks(ledgers, sources, ledger.validate(ledgers, sources))
+    return blocked.select("ledger_id", F.array_join("blocks", ",").alias("blocks"))
+
+
 # ---- functions ----
 
 
@@ -415,6 +506,12 @@ def sk04_search_lines(spark, sf_dir):
     return search.render(search.search(index(spark, sf_dir), QUERY, 20).withColumn("score", F.round("score", 9)))
 
 
-@query()
+_JSON_FINDING = """'{"category":"' || category || '","line":' || line || ',"reason_code":"' || reason_code || '"}'"""
+
+
+@query(
+    f"{_FOUND}, b AS (SELECT path, string_agg(replace({_JSON_FINDING}, '\"line\":' || line || ',\"reason_code\":\"' || reason_code || '\"', '\"reason_code\":\"' || reason_code || '\",\"line\":' || line), ',' ORDER BY category, reason_code, line) AS f FROM found GROUP BY path) "
+    """SELECT '{"findings":[' || f || '],"path":"' || path || '","source":{"line_count":' || len(string_split(text, chr(10))) || ',"sha256":"' || sha256(text) || '"},"status":"blocked"}' AS json FROM b JOIN scanned USING (path)"""
+)
 def sk05_scan_json(spark, sf_dir):
     return scan.as_json(scan.visible_records(scan.scan(derived.scan_docs(spark, sf_dir)), quiet=True))
