@@ -5,13 +5,19 @@ The network reads character classes, is trained in numpy from labelled spans
 ``SAMPLE_DOCS`` documents), and decodes overlapping windows of every text.
 Windows lie on a fixed grid; each settles the tags of its own middle half, and
 spans are read from the joined tags, so a span may cross windows.  A tag other
-than O needs a digit or an at-sign within its window (every kind has one), so
-windows without either are O and are not computed.
+than O needs a digit, an at-sign or a bracketed "at" within its window (every
+kind has one), so windows without any are O and are not computed.
 
 Rules (``base_spans``) always stay.  The network adds spans that touch no rule
 span and are plausible for their kind: an e-mail with something on both sides
-of its at-sign, four numbers of at most 255, 14 to 19 digits that pass Luhn, 10
-to 15 digits.
+of its at-sign, which may be written "(at)" or "[at]" as its dots may be
+"[dot]" or "[.]"; four numbers of at most 255 with dots written so; 14 to 19
+digits that pass Luhn, without letters between them; 10 to 15 digits with the
+marks of telephone numbers.  Rules know none of these written forms, nor
+numbers without a plus sign, so sample texts are no evidence about them:
+windows of the sample that may hold one are left out of training.
+
+Training alone leaves out sample texts of over ``SAMPLE_CHARS`` characters.
 
 Cases: null text is empty; texts of any length are read whole, in linear time;
 repeated rows are each returned; empty tables give empty results; extra columns
@@ -34,8 +40,10 @@ from .common import lowest, read, slices
 KINDS = ("email", "ip", "card", "phone")
 #: Documents at most that training takes labelled spans from; the rest of training is written text.
 SAMPLE_DOCS = 256
+#: Characters at most of a text that training takes spans from.
+SAMPLE_CHARS = 20_000
 WINDOW, OWN = 96, 48
-HIDDEN, STEPS, BATCH = 10, 160, 96
+HIDDEN, STEPS, BATCH = 16, 300, 96
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -44,6 +52,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_AT = re.compile(r"[\[(]at[\])]", re.IGNORECASE)
+_DOT = r"\s?(?:\.|[\[(](?:\.|dot)[\])])\s?"
+_WRITTEN_EMAIL = re.compile(r"[^\s@()\[\]]+\s?(?:@|[\[(](?:at|@)[\])])\s?[A-Za-z0-9-]+(?:" + _DOT + r"[A-Za-z0-9-]+)+", re.IGNORECASE)
+#: Text that may be personal data in a form that the rules don't know.
+_OPEN = re.compile(r"[0-9](?:[ ()./-]{0,3}[0-9]){9,}|[\[(](?:at|dot|\.|@)[\])]", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -106,6 +119,13 @@ def classes(text: str) -> np.ndarray:
     return np.where(points < 128, _CLASSES[np.minimum(points, 127)], 6)
 
 
+def hits_of(text: str, x: np.ndarray) -> np.ndarray:
+    """Positions of which every kind of personal data has one: digits, at-signs, bracketed "at"."""
+    hits = np.flatnonzero((x == 0) | (x == _CLASSES[64]))
+    written = [m.start() for m in _AT.finditer(text)]
+    return np.union1d(hits, written).astype(np.int64) if written else hits
+
+
 def tags_of(n: int, spans) -> np.ndarray:
     tags = np.zeros(n, np.int64)
     for start, kind, end in spans:
@@ -239,42 +259,53 @@ def viterbi(model, x: np.ndarray) -> np.ndarray:
 def _written(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     """A written line with labelled spans, numbers that are no personal data, and filler."""
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randint(1, 9)))
+    plain_word = lambda: word().replace("é", "e").replace("ß", "s")
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     text, spans = "", []
     for _ in range(rng.randint(6, 16)):
         pick, kind, part = rng.random(), None, word()
-        if pick < 0.07:
-            kind, part = 0, rng.choice([word(), word() + "." + num(2), word() + "_" + word()]).replace("é", "e").replace("ß", "s") + "@" + rng.choice(["mail" + num(1) + ".", ""]) + rng.choice(["example", "host", "web-site"]) + rng.choice([".com", ".org", ".co.uk", ".de"])
-        elif pick < 0.14:
-            kind, part = 1, ".".join(str(rng.randint(0, 255)) for _ in range(4))
-        elif pick < 0.21:
+        if pick < 0.08:
+            at, dot = rng.choice([("@", "."), ("@", "."), ("(at)", "."), (" (at) ", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "[.]"), ("@", "[.]")])
+            host = rng.choice(["mail" + num(1) + ".", ""]) + rng.choice(["example", "host", "web-site", plain_word()]) + rng.choice([".com", ".org", ".co.uk", ".de"])
+            kind, part = 0, rng.choice([plain_word(), plain_word() + "." + num(2), plain_word() + "_" + plain_word(), plain_word() + "." + plain_word()]) + at + host.replace(".", dot)
+        elif pick < 0.16:
+            kind, part = 1, rng.choice([".", ".", "[.]", "(.)", "[dot]"]).join(str(rng.randint(0, rng.choice([9, 99, 255, 255]))) for _ in range(4))
+        elif pick < 0.24:
             d = num(15)
-            kind, part = 2, d + next(x for x in "0123456789" if luhn(d + x))
-            part = rng.choice([part, " ".join(part[i : i + 4] for i in range(0, 16, 4)), "-".join(part[i : i + 4] for i in range(0, 16, 4))])
-        elif pick < 0.28:
-            kind, part = 3, rng.choice(["+1 ", "+44 ", "+1", ""]) + rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}"])
-        elif pick < 0.42:
-            part = rng.choice([num(rng.randint(1, 8)), num(2) + ":" + num(2), "20" + num(2) + "-" + num(2) + "-" + num(2), "%064x" % rng.getrandbits(256), num(1) + "." + num(1) + "." + num(1), "$" + num(3) + ".00", "@" + word(), word() + num(2), num(3) + "," + num(3)])
-        elif pick < 0.5:
+            d += next(x for x in "0123456789" if luhn(d + x))
+            kind, part = 2, rng.choice(["", " ", "-", ".", "/", "  "]).join(d[i : i + 4] for i in range(0, 16, 4))
+        elif pick < 0.34:
+            a, b, c = num(3), num(3), num(4)
+            kind, part = 3, rng.choice(["+1 ", "+44 ", "+1", "", "", "001 ", "0044 ", "1-"]) + rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}) {b} {c}", f"{a}/{b}-{c}"])
+        elif pick < 0.48:
+            part = rng.choice([num(rng.randint(1, 8)), num(rng.randint(9, 20)), "(" + num(rng.randint(1, 4)) + ")", "[" + num(rng.randint(1, 2)) + "]", num(2) + "/" + num(2) + "/" + num(4), num(3) + "-" + num(3), "(" + word() + ")", "[" + word() + "]", num(2) + ":" + num(2), "20" + num(2) + "-" + num(2) + "-" + num(2), "%064x" % rng.getrandbits(256), num(1) + "." + num(1) + "." + num(1), "$" + num(3) + ".00", "@" + word(), word() + num(2), num(3) + "," + num(3)])
+        elif pick < 0.56:
             part = part.capitalize() + rng.choice(["", ".", ",", "***", "###", "&&&", "!!"])
         if kind is not None:
+            before, after = rng.choice([("", "")] * 6 + [("", "."), ("", ","), ("", "***"), ("", "!!"), ("", ";"), ("(", ")"), ("(", ")"), ('"', '"'), (": ", ""), ("<", ">")])
+            text += before
             spans.append((len(text), kind, len(text) + len(part)))
-            part += rng.choice(["", "", ".", ",", "***", "!!"])
+            part += after
         text += part + rng.choice([" ", " ", " ", "\n", ", "])
     return text, spans
 
 
-def training_windows(sample: list[str], seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
+def training_windows(sample: list[str], seed: int = 11, lines: int = 1200) -> list[tuple[np.ndarray, np.ndarray]]:
     """Windows around spans and other digits of written lines and of the sample's texts (labelled by the rules)."""
     rng = random.Random(seed)
-    lines = [_written(rng) for _ in range(600)] + [(t, base_spans(t)) for t in sample]
     out = []
-    for text, spans in lines:
+    for text, spans, known in [(*_written(rng), True) for _ in range(lines)] + [(t, base_spans(t), False) for t in sample]:
         x, y = np.pad(classes(text), WINDOW, constant_values=PAD), np.pad(tags_of(len(text), spans), WINDOW)
-        hits = np.flatnonzero((x == 0) | (x == _CLASSES[64]))
+        # What rules can't judge: forms that they don't know.
+        unsure = np.zeros(len(x), bool)
+        for m in () if known else _OPEN.finditer(text):
+            if not y[m.start() + WINDOW : m.end() + WINDOW].any():
+                unsure[m.start() + WINDOW : m.end() + WINDOW] = True
+        hits = hits_of(text, x[WINDOW : len(x) - WINDOW]) + WINDOW
         for at in ([s + WINDOW for s, _, _ in spans] + ([int(rng.choice(hits)) for _ in range(2)] if len(hits) else []))[:6]:
             start = min(max(at - rng.randint(10, WINDOW - 20), 0), len(x) - WINDOW)
-            out.append((x[start : start + WINDOW], y[start : start + WINDOW]))
+            if not unsure[start : start + WINDOW].any():
+                out.append((x[start : start + WINDOW], y[start : start + WINDOW]))
     return out
 
 
@@ -295,7 +326,7 @@ def decode(model, texts: list[str]) -> list[np.ndarray]:
     for i, text in enumerate(texts):
         x = classes(text)
         out.append(np.zeros(len(x), np.int8))
-        hits = np.flatnonzero((x == 0) | (x == _CLASSES[64]))
+        hits = hits_of(text, x)
         if not len(hits):
             continue
         # Windows whose reach [k * OWN - side, k * OWN + OWN + side) has a hit.
@@ -314,13 +345,14 @@ def decode(model, texts: list[str]) -> list[np.ndarray]:
 
 def _plausible(kind: int, part: str) -> bool:
     if kind == 0:
-        return bool(re.fullmatch(r"[^\s@]+@[^\s@]*[A-Za-z0-9][^\s@]*", part))
+        return bool(re.fullmatch(r"[^\s@]+@[^\s@]*[A-Za-z0-9][^\s@]*", part) or _WRITTEN_EMAIL.fullmatch(part))
     if kind == 1:
-        return part.count(".") == 3 and all(p.isascii() and p.isdigit() for p in part.split(".")) and _small_parts(part)
+        parts = re.split(_DOT, part)
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts) and _small_parts(".".join(parts))
     d = _digits(part)
     if kind == 2:
-        return 14 <= len(d) <= 19 and luhn(d)
-    return 10 <= len(d) <= 15 and not re.search(r"[^0-9+() .-]", part)
+        return 14 <= len(d) <= 19 and luhn(d) and not re.search(r"[^\W\d_]", part)
+    return 10 <= len(d) <= 15 and not re.search(r"[^0-9+() ./-]", part)
 
 
 def added_spans(text: str, tags: np.ndarray, base) -> list[tuple[int, int, int]]:
@@ -356,7 +388,7 @@ def find_spans(model, texts: list[str]) -> list[tuple[list, list]]:
 
 def fit(docs: DataFrame) -> dict[str, np.ndarray]:
     """The network, from written lines and at most SAMPLE_DOCS documents, of those with a digit the ones whose hashes are lowest."""
-    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000)).select("text", F.xxhash64("text").alias("h"))
+    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS)).select("text", F.xxhash64("text").alias("h"))
     # Copies of a text count once, so the sample is bounded.
     some = lowest(some, SAMPLE_DOCS, "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h")
     return train(training_windows([r.text for r in some.collect()]))

@@ -79,6 +79,67 @@ def test_held_out(model):
     assert right / said > 0.9 and right / there > 0.9
 
 
+#: Forms that no rule finds, of each kind, and places they stand in; training writes neither.
+FORMS = [
+    (0, ["jane.doe (at) northwind.org", "k_smith[at]uni-bonn[dot]de", "info(at)river.co.uk", "ops@corp[.]net", "paul.07 [at] mail [dot] example [dot] com"]),
+    (1, ["10[.]20[.]30[.]4", "192[.]168[.]0[.]17", "8(.)8(.)4(.)4", "172[dot]16[dot]254[dot]1"]),
+    (2, ["4111.1111.1111.1111", "5555/5555/5555/4444", "4012  8888  8888  1881", "6011.0009.9013.9424"]),
+    (3, ["212-555-0147", "(415) 555 2671", "0044 207-946-0958", "303.555.0182", "1-800-555-0199", "617 555 0123"]),
+]
+PLACES = [
+    "Please reach us under {} before Friday.",
+    "My old contact was {}, but it changed",
+    "Customer wrote: {}\nThanks!",
+    "see ({}) for more",
+    "Ref {}; closed",
+    "{} is what the ticket of March says.",
+    "Der Kunde nannte {} und legte auf.",
+    "The value {} was in the log at 12:45.",
+]
+#: Numbers and brackets that are no personal data.
+CLEAN = [
+    "In 1998 there were 12,500 visitors, 3.5 % more.",
+    "Order 48213377 shipped on 2024-05-17 at 09:30.",
+    "Version 2.10.4 (build 8841) replaced [12] and [13].",
+    "The total was $1,249.00 for 3 items (net).",
+    "Pages 112-118, vol. 7, no. 3 (2011).",
+    "He scored 21-14, 6-2 and 7-5 (at home).",
+    "At 51.5072, -0.1276 it rains 601 mm a year.",
+    "Invoice 100023994455 was paid.",
+    "a1b2c3d4e5f6 and 0xdeadbeef are tokens, @handle too",
+]
+
+
+@pytest.mark.parametrize("kind, forms", FORMS)
+def test_forms_beyond_the_rules(model, kind, forms):
+    found = there = 0
+    for form in forms:
+        for place in PLACES:
+            at = place.index("{}")
+            base, added = m.find_spans(model, [place.format(form)])[0]
+            assert (at, kind, at + len(form)) not in base
+            found, there = found + ((at, kind, at + len(form)) in added), there + 1
+    assert found / there >= 0.9
+
+
+def test_numbers_that_are_no_personal_data(model):
+    assert [t for t in CLEAN if any(m.find_spans(model, [t])[0])] == []
+
+
+def test_plausible():
+    for kind, forms in FORMS:
+        for form in forms:
+            assert m._plausible(kind, form), form
+    for kind, part in [(0, "(at)"), (0, "a (at) b"), (0, "@"), (1, "1[.]2[.]3"), (1, "1[.]2[.]3[.]256"), (2, "4111.1111.1111.1112"), (2, "4111a1111111111111"), (3, "12-34"), (3, "212x555-0147")]:
+        assert not m._plausible(kind, part), part
+
+
+def test_sample_windows_leave_out_open_forms():
+    """Rules say nothing about a number without plus sign, so its windows teach nothing; others do."""
+    assert m.training_windows(["call 212-555-0147 now"], lines=0) == []
+    assert m.training_windows(["in 1998 we met"], lines=0) != []
+
+
 def test_windows_are_joined(model):
     line = "write to someone.else@mail3.example.com or call 212-555-0100 now "
     text = line * 40
