@@ -101,10 +101,19 @@ def _unbits(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def _group_min(inverse: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    order = np.argsort(inverse, kind="stable")
-    starts = np.searchsorted(inverse[order], np.arange(n))
-    return np.minimum.reduceat(values[order], starts) if n else values[:0]
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the place of each key among them, the order that sorts the keys, and where each begins in it."""
+    order = np.argsort(keys)
+    in_order = keys[order]
+    new = np.concatenate((np.ones(min(1, len(keys)), bool), in_order[1:] != in_order[:-1]))
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    starts = np.flatnonzero(new)
+    return in_order[starts], place, order, starts
+
+
+def _least(values: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.minimum.reduceat(values[order], starts) if len(starts) else values[:0]
 
 
 class Chunk:
@@ -117,60 +126,63 @@ class Chunk:
         self.ranges, self.length, half = ranges, length, length // 2
         data = np.frombuffer(self.bytes, np.uint8)
         rank, least = ranks_and_least(data, half, length - half + 1)
-        doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.ends, prepend=0))
-        at = np.flatnonzero(self.ends[doc[: len(least)]] - np.arange(len(least)) >= length).astype(np.int32)
-        # Chosen positions never step back, so they are grouped as they are.
+        sizes = np.diff(self.ends, prepend=0)
+        doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), sizes)
+        last = np.repeat((self.ends - length).astype(np.int32), sizes)[: len(least)]
+        at = np.flatnonzero(last >= np.arange(len(least), dtype=np.int32)).astype(np.int32)
+        # Chosen positions never step back, so they are grouped as they are: one for each run.
         chosen = least[at]
-        new = np.concatenate((np.ones(min(1, len(at)), bool), chosen[1:] != chosen[:-1]))
-        inverse, chosen = np.cumsum(new) - 1, chosen[new]
-        self.names, self.name_of = np.unique(rank[chosen] >> np.uint64(24), return_inverse=True)
-        own = self.ids[doc[chosen]]
-        low, high = _group_min(self.name_of, own, len(self.names)), -_group_min(self.name_of, -own, len(self.names))
-        self.several = low < high
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), chosen[1:] != chosen[:-1])))
+        chosen, runs = chosen[first], np.diff(first, append=len(at))
+        self.names, self.name_of, order, starts = _grouped(rank[chosen] >> np.uint64(24))
         if answers < 1:
+            own = self.ids[doc[chosen]][order]
+            self.several = np.minimum.reduceat(own, starts) < np.maximum.reduceat(own, starts) if len(starts) else np.zeros(0, bool)
             return
         shared = self._answer(row["a1"], self.names, 40)
-        keep = shared[self.name_of][inverse]
-        at, inverse = at[keep], inverse[keep]
         self.shared_names = self.names[shared]
+        kept = shared[self.name_of]
+        at = at[np.repeat(kept, runs)]
+        name = np.repeat(self.name_of[kept], runs[kept])
         some = (least[at] - at) % EVERY == 0
         owner = self.ids[doc[at]]
 
         def pairs(which: np.ndarray):
             p = at[which]
-            u, inv = np.unique(mix(rank[p] * _M + rank[p + length - half]), return_inverse=True)
-            return u, inv, _group_min(inv, owner[which], len(u))
+            u, place, order, starts = _grouped(mix(rank[p] * _M + rank[p + length - half]))
+            return u, place, _least(owner[which], order, starts)
 
-        self.pairs, inv, self.smallest = pairs(some)
+        def smaller(which, answer):
+            return at[which][self._answer(answer, self.pairs, 64)[place] | (self.smallest[place] < owner[which])]
+
+        # Each step rebuilds only what it needs: the last one what the second and the fourth found.
+        if answers != 3:
+            self.pairs, place, self.smallest = pairs(some)
         if answers < 2:
             return
-
-        def smaller(which, inv, smallest, answer, names):
-            return at[which][self._answer(answer, names, 64)[inv] | (smallest[inv] < owner[which])]
-
-        found = smaller(some, inv, self.smallest, row["a2"], self.pairs)
-        covered = self._cover(found)
-        before = np.concatenate(([0], np.cumsum(covered)))
-        open_ = ~some & (before[at + length] - before[at] < length)
-        name = self.name_of[inverse]
-        self.open = np.zeros(len(self.names), bool)
-        self.open[name[open_]] = True
-        self.open = self.open[shared]
+        if answers != 3:
+            found = smaller(some, row["a2"])
         if answers < 3:
+            before = np.concatenate((np.zeros(1, np.int32), np.cumsum(self._cover(found), dtype=np.int32)))
+            open_ = ~some & (before[at + length] - before[at] < length)
+            self.open = np.zeros(len(self.names), bool)
+            self.open[name[open_]] = True
+            self.open = self.open[shared]
             return
         asked = np.zeros(len(self.names), bool)
         asked[np.flatnonzero(shared)[self._answer(row["a3"], self.shared_names, 40)]] = True
         rest = ~some & asked[name]
-        self.pairs, inv, self.smallest = pairs(rest)
+        self.pairs, place, self.smallest = pairs(rest)
         if answers < 4:
             return
-        self.covered = self._cover(np.concatenate([found, smaller(rest, inv, self.smallest, row["a4"], self.pairs)]))
+        self.covered = self._cover(np.concatenate([found, smaller(rest, row["a4"])]))
 
     def _cover(self, starts: np.ndarray) -> np.ndarray:
+        """Which bytes strings at distinct starts cover."""
         step = np.zeros(len(self.bytes) + 1, np.int32)
-        np.add.at(step, starts, 1)
-        np.add.at(step, starts + self.length, -1)
-        return np.cumsum(step)[:-1] > 0
+        step[starts] += 1
+        step[starts + self.length] -= 1
+        return np.cumsum(step, dtype=np.int32)[:-1] > 0
 
     def parts(self, names: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
         """(range, start, end) of the sorted names."""
@@ -228,7 +240,7 @@ def _sorted_range(step: int):
             key, value = wide.view(np.uint64).ravel(), np.concatenate([_unbits(m, k) for m, k in zip(more, n, strict=True)])
         else:
             key, value = np.frombuffer(b"".join(names), np.uint64), np.concatenate([_documents(m, k) for m, k in zip(more, n, strict=True)])
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         starts = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
         sizes = np.diff(starts, append=len(key))
         if step in (1, 3):
