@@ -34,15 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Rows of a batch that Python gets at once: texts may be long.
-BATCH_ROWS = 1000
+#: Rows and bytes of a batch that Python gets at once: texts may be long.  A longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound the rows of Arrow batches, unless the session already does more tightly."""
+    """Bound the rows and bytes of Arrow batches, unless the session already does more tightly."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = spark.conf.get(key, "64m").lower()
+    unit = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    digits, rest = said.rstrip("bkmgi"), said.lstrip("-0123456789")
+    if not 0 < int(digits) * unit.get(rest[:1], 1) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def trim() -> None:

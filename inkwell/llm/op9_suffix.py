@@ -232,6 +232,7 @@ def _sorted_range(step: int):
     """All asks of one range -> an answer for each: is the rank in several documents (1), open anywhere (3), in a smaller document (2, 4)?"""
 
     def run(table: pa.Table) -> pa.Table:
+        trim()
         n = table.column("n").to_pylist()
         names, more = table.column("names").to_pylist(), table.column("more").to_pylist()
         if step in (1, 3):
@@ -304,6 +305,7 @@ def _results(ranges: int, length: int, texts: bool):
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
                 cols = [pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)]
                 names = [x.split()[0] for x in _RESULT.split(", ")]
+                trim()
                 yield pa.record_batch(cols if texts else cols[:5], names=[*names, "kept"] if texts else names)
 
     return run
