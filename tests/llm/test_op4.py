@@ -79,7 +79,7 @@ def test_held_out(model):
     assert right / said > 0.9 and right / there > 0.9
 
 
-#: Forms that no rule finds, of each kind, and places they stand in; training writes neither.
+#: Forms that no rule finds, of each kind, and places they stand in. Training writes lines of such forms, but not these strings or places.
 FORMS = [
     (0, ["jane.doe (at) northwind.org", "k_smith[at]uni-bonn[dot]de", "info(at)river.co.uk", "ops@corp[.]net", "paul.07 [at] mail [dot] example [dot] com"]),
     (1, ["10[.]20[.]30[.]4", "192[.]168[.]0[.]17", "8(.)8(.)4(.)4", "172[dot]16[dot]254[dot]1"]),
