@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import Scratch, fresh, read
+from inkwell.llm.common import Scratch, few, fresh, read
 from inkwell.llm.op2_minhash import BROADCAST_ROWS, near_duplicates
 from inkwell.llm.op4_pii import mask_pii
 from inkwell.llm.op7_packing import pack
@@ -34,7 +34,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "dedup")
     by_id, by_text, own, place = fresh(docs.columns, "__id", "__th", "__own", "__place")
     found = near_duplicates(docs, by_row=True).select(F.col("doc_id").alias(by_id), F.col("th").alias(by_text), "n_shingles", "kept")
-    found = scratch.cut(found)
+    rows = docs.count()
+    found = scratch.cut(few(found, rows))
     left = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(by_id)) & (F.col(own) == F.col(by_text))
     dropped = found.where("not kept").select(by_id, by_text).distinct()
@@ -43,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = left.join(dropped, same, "left_anti")
     # Rows that repeat a kept one, if there are any; texts without words are no copies of each other.
     again = found.where(F.col("kept") & (F.col(by_id).isNotNull() | (F.col("n_shingles") > 0))).groupBy(by_id, by_text).count().where("count > 1")
-    again = scratch.cut(again.select(by_id, by_text))
+    again = scratch.cut(few(again.select(by_id, by_text), rows))
     if again.isEmpty():
         return left.select(*docs.columns)
     once = Window.partitionBy("doc_id", own).orderBy("text")

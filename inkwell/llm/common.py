@@ -85,6 +85,19 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows for each task that writes a table of known size, if there are more than one for each core.
+PART_ROWS = 100_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than ``rows`` rows call for, and at least one for each core.
+
+    Each file that a task writes to a local file system starts processes that set its permissions.  For a moment such a
+    process has the executor's memory as its own, so hundreds of tiny files cost time, and the executor seems twice its size.
+    """
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, read
+from .common import WORD, Scratch, few, read
 
 #: Fewest hashed cells that a source is spread over, and rows that a cell has at most, or so, if all rows are of one source.
 CELLS, CELL_ROWS = 4096, 1 << 15
@@ -53,8 +53,8 @@ def _seats(df: DataFrame, by: list[str], claim: str, most: str, house: Column, k
     return df.join(moved, on, "left").withColumn("quota", (F.col("__a") + F.coalesce("__m", F.lit(0))).cast("long")).drop("__a", "__d", "__m")
 
 
-def _plan(cells: DataFrame, scratch: Scratch, weights, total: float, most: int, n_cells: int) -> DataFrame:
-    """cells(__no, __s, __cell, words) -> with the source's size and target, the shard, its blocks and quota, and the cell's first word in it."""
+def _plan(cells: DataFrame, scratch: Scratch, weights, total: float, most: int, n_cells: int, rows: int) -> DataFrame:
+    """cells(__no, __s, __cell, words), ``rows`` at most -> with the source's size and target, the shard, its blocks and quota, and the cell's first word in it."""
     sources = cells.groupBy(*_S).agg(F.sum("words").alias("source_size"))
     # Aggregated rows: one of each source.
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("__rank") - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -72,10 +72,10 @@ def _plan(cells: DataFrame, scratch: Scratch, weights, total: float, most: int,
     sources = sources.withColumn("__shards", F.least(F.lit(n_cells), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD))).cast("int"))
     sources = sources.select(*_S, "source_size", "target", "__shards")
 
-    placed = scratch.cut(cells.join(sources, _S).withColumn("__shard", F.pmod("__cell", "__shards")))
+    placed = scratch.cut(few(cells.join(sources, _S).withColumn("__shard", F.pmod("__cell", "__shards")), rows))
     shards = placed.groupBy(*_S, "__shard").agg(F.sum("words").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     blocks = F.least(F.col("shard_size"), F.greatest(F.lit(LEAST_BLOCKS), F.round(F.col("shard_size") / BLOCK).cast("long")))
-    shards = scratch.cut(shards.where("shard_size > 0").withColumn("blocks", blocks.cast("long")))
+    shards = scratch.cut(few(shards.where("shard_size > 0").withColumn("blocks", blocks.cast("long")), rows))
     each = shards.groupBy(*_S).agg(F.sum("blocks").alias("source_blocks"), F.first("source_size").alias("n"), F.first("target").alias("target"))
     each = each.withColumn("claim", F.col("source_blocks") * F.col("target") / F.col("n")).withColumn("top", F.col("source_blocks") * most)
     each = _seats(each, [], "claim", "top", F.round(F.sum("claim").over(one)), _S).withColumnRenamed("quota", "source_quota")
@@ -85,7 +85,7 @@ def _plan(cells: DataFrame, scratch: Scratch, weights, total: float, most: int,
     shards = shards.select(*_S, "__shard", "shard_size", "blocks", "quota")
     start = Window.partitionBy(*_S, "__shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("__first", F.coalesce(F.sum("words").over(start), F.lit(0)))
-    return scratch.cut(placed.join(shards, [*_S, "__shard"], "left").select(*_S, "__cell", "__shard", "source_size", "target", "shard_size", "blocks", "quota", "__first"))
+    return scratch.cut(few(placed.join(shards, [*_S, "__shard"], "left").select(*_S, "__cell", "__shard", "source_size", "target", "shard_size", "blocks", "quota", "__first"), rows))
 
 
 def _times(block: Column, seed: int) -> Column:
@@ -106,8 +106,8 @@ def _drawn(docs: DataFrame, weights, total: float, most: int, seed: int) -> Data
     docs = docs.withColumn("__no", F.col("source").isNull()).withColumn("__s", F.coalesce("source", F.lit("")))
     docs = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     docs = docs.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("__cell", F.pmod("__h", F.lit(n_cells)).cast("int"))
-    cells = scratch.cut(docs.groupBy(*_S, "__cell").agg(F.sum("size").alias("words")))
-    plan = _plan(cells, scratch, weights, total, most, n_cells)
+    cells = scratch.cut(few(docs.groupBy(*_S, "__cell").agg(F.sum("size").alias("words")), rows))
+    plan = _plan(cells, scratch, weights, total, most, n_cells, rows)
     order = Window.partitionBy(*_S, "__cell").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = docs.join(plan, [*_S, "__cell"])
     out = out.withColumn("__at", F.col("__first") + F.coalesce(F.sum("size").over(order), F.lit(0)))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat_words, mix, read, slices, word_hashes
+from .common import Scratch, few, flat_words, mix, read, slices, word_hashes
 
 BANDS, ROWS = 36, 5
 #: Shingles of a block of a cluster; two blocks meet in one task.
@@ -216,8 +216,8 @@ def _between_blocks(num: int, den: int):
     return run
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(u, v) links -> (u, label), label the smallest node of the component; by alternating large-star and small-star.
+def connected_components(edges: DataFrame, scratch: Scratch, rows: int) -> DataFrame:
+    """(u, v) links, ``rows`` at most -> (u, label), label the smallest node of the component; by alternating large-star and small-star.
 
     Every node that occurs in a link gets a row.  Each step is a grouped
     minimum and an equi-join, so a node with very many neighbours is
@@ -227,16 +227,16 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     def checksum(e):
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    e = scratch.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    e = scratch.cut(few(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), rows))
     seen = checksum(e)
     while seen[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.cut(large)
+        large = scratch.cut(few(large, seen[0]))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
-        new = scratch.cut(small)
+        new = scratch.cut(few(small, 2 * seen[0]))
         now = checksum(new)
         scratch.drop(e, large)
         e = new
@@ -244,7 +244,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         seen = now
     labels = e.select("u", F.col("v").alias("label"))
-    return scratch.cut(labels.union(e.select(F.col("v").alias("u"), F.col("v").alias("label"))).distinct())
+    return scratch.cut(few(labels.union(e.select(F.col("v").alias("u"), F.col("v").alias("label"))).distinct(), 2 * seen[0]))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, by_row: bool = False) -> DataFrame:
@@ -260,10 +260,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     # Different sets of fewer than this many shingles can't be this alike: (x - 1) / x < num / den for x up to it.
     least = next(x for x in range(1, 10**6) if den * x >= num * (x + 1)) if num < den else 1 << 62
     signed = scratch.cut(docs.mapInArrow(_sign(words, bands, rows, least), "doc_id long, th long, n_shingles long, node long, bands array<long>"))
+    n_docs = signed.count()
     banded = signed.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    members = scratch.cut(banded.join(buckets, "band").select("band", "low", "node").distinct())
-    tested = scratch.cut(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+    members = scratch.cut(few(banded.join(buckets, "band").select("band", "low", "node").distinct(), bands * n_docs))
+    tested = scratch.cut(few(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), members.count()))
+    n_tested = tested.count()
 
     # One row of each set: the document with the smallest id.
     first = signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("x"))
@@ -271,7 +273,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     # Full sets of the nodes that share a bucket with another.
     nodes = members.select("node").distinct()
-    wanted = scratch.cut(first.join(nodes, "node"))
+    wanted = scratch.cut(few(first.join(nodes, "node"), n_docs))
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = docs.join(side, (docs.th == side.rep_th) & docs.doc_id.eqNullSafe(side.rep_id)).select("node", "text")
     full = scratch.cut(texts.mapInArrow(_sets(words, bands * rows), "node long, n int, set binary, sig binary"))
@@ -281,25 +283,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
             x = x.join(full.select(F.col("node").alias(end), *[F.col(n).alias(f"{n}_{end}") for n in names]), end)
         return x
 
-    like = scratch.cut(both(tested, "n", "sig").mapInArrow(_alike(num, den, bands * rows), "a long, b long"))
-    linked = scratch.cut(both(like, "set").mapInArrow(_confirm(num, den), "a long, b long"))
+    like = scratch.cut(few(both(tested, "n", "sig"), n_tested).mapInArrow(_alike(num, den, bands * rows), "a long, b long"))
+    linked = scratch.cut(few(both(like, "set"), like.count()).mapInArrow(_confirm(num, den), "a long, b long"))
+    n_linked = linked.count()
     edges = linked.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = connected_components(edges, scratch)
+    labels = connected_components(edges, scratch, n_linked)
 
     # Clusters of nodes that buckets tie together; those of three or more nodes that still hold several components are open.
-    clusters = connected_components(tested.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+    clusters = connected_components(tested.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, n_tested)
     named = clusters.select(F.col("u").alias("node"), F.col("label").alias("cluster")).join(labels, F.col("node") == F.col("u"), "left")
     named = named.select("node", "cluster", F.coalesce("label", "node").alias("label")).join(full.select("node", "n"), "node")
-    named = scratch.cut(named)
+    named = scratch.cut(few(named, n_docs))
     open_ = named.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k"), F.sum("n").alias("size")).where("lo <> hi and k > 2")
     open_ = open_.select("cluster", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("k") / NODES)).cast("int").alias("blocks"))
-    open_ = scratch.cut(named.join(open_, "cluster").select("node", "cluster", "label", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block"), "blocks"))
+    open_ = scratch.cut(few(named.join(open_, "cluster").select("node", "cluster", "label", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block"), "blocks"), n_docs))
     dealt = open_.join(full.select("node", "set"), "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "set")
     more = dealt.groupBy("cluster", "i", "j").applyInArrow(_between_blocks(num, den), "u long, v long")
     more = scratch.cut(more)
-    if not more.isEmpty():
-        labels = connected_components(edges.union(more), scratch)
+    n_more = more.count()
+    if n_more:
+        labels = connected_components(edges.union(more), scratch, n_linked + n_more)
 
     scratch.drop(members, wanted, full, like, named, open_)
     nodes = first.join(labels, F.col("node") == F.col("u")).select("node", "label", "rep_id", "rep_th")
@@ -308,7 +312,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     smallest_of_set = first.select(F.col("node").alias("s_node"), "rep_id", "rep_th").join(linked, F.col("s_node") == F.col("l_node"), "left")
     # Equal sets are one component, but empty ones aren't linked.
     of = [F.when(F.col("l_node").isNull(), F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("rep_id", "c"), ("rep_th", "c_th"))]
-    named = scratch.cut(smallest_of_set.select("s_node", *of[: 2 if by_row else 1]))
+    named = scratch.cut(few(smallest_of_set.select("s_node", *of[: 2 if by_row else 1]), n_docs))
     if by_row:
         out = signed.join(named, F.col("node") == F.col("s_node"))
         empty = F.col("n_shingles") == 0

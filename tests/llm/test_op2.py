@@ -114,3 +114,29 @@ def test_small_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     out = m.op2_minhash(spark, sf)
     assert sorted((tuple(r) for r in out.collect()), key=str) == brute(rows)
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, small tables are written by a few tasks: each file costs processes and time."""
+    from pyspark.sql import functions as F
+
+    from inkwell.llm.common import Scratch
+
+    files, cut = [], Scratch.cut
+    monkeypatch.setattr(Scratch, "cut", lambda self, df: (out := cut(self, df), files.append(out.select(F.input_file_name()).distinct().count()))[0])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    r = random.Random(5)
+    rows = []
+    for g in range(40):
+        base = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        rows += [(10 * g + i, " ".join(base + [f"x{i}"])) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    try:
+        for k, v in zip(old, ("17", "false"), strict=True):
+            spark.conf.set(k, v)
+        out = m.near_duplicates(docs).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {x.doc_id: x.component_id for x in out} == {i: i // 10 * 10 for i, _ in rows}
+    assert max(files) <= spark.sparkContext.defaultParallelism
