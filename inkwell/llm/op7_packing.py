@@ -34,8 +34,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, flat_words, read, slices
 
-#: Ids of a sequence, longest piece, and distinct chunks whose ids a worker remembers at most (beyond one slice's).
-SEQUENCE, PIECE, REMEMBER = 2048, 512, 300_000
+#: Ids of a sequence, and longest piece.
+SEQUENCE, PIECE = 2048, 512
+#: Distinct chunks whose ids a worker remembers at most, and bytes of them and of their ids (beyond one slice's).
+REMEMBER, REMEMBER_BYTES = 300_000, 16 << 20
+#: Bytes of text that are tokenised at once: indexes of their ids take some twenty times as much.
+SLICE_BYTES = 1 << 20
 END_ID = 1
 #: A letter or digit and the marks after it, which the tokenizer takes apart.  Only letters that are one letter in lower case
 #: too, by any Unicode table: the lower case of U+0130 ends in a combining mark, which goes with the marks after it.
@@ -89,7 +93,8 @@ class Chunks:
         return self.tokenizer.encode(a, add_special_tokens=False).ids == self.tokenizer.encode(b, add_special_tokens=False).ids
 
     def clear(self):
-        self.at: dict[str, int] = {}
+        # An Arrow column, looked up by a hash table for each slice: a dict of strings takes several times the memory.
+        self.chunks = pa.array([], pa.large_string())
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.known = np.zeros(1 << 16, np.int64), 0
 
@@ -101,7 +106,7 @@ class Chunks:
         if self.known + len(chunks) + 1 > len(self.start):
             self.start = np.concatenate([self.start[: self.known + 1], np.zeros(self.known + len(chunks), np.int64)])
         self.start[self.known + 1 : self.known + 1 + len(chunks)] = self.used + np.cumsum(lengths)
-        self.at.update(zip(chunks, range(self.known, self.known + len(chunks)), strict=True))
+        self.learned += chunks
         self.used, self.known = need, self.known + len(chunks)
 
     def _learn(self, chunks: list[str]):
@@ -128,18 +133,32 @@ class Chunks:
             ends = np.append(np.flatnonzero(cut), len(ids))
             self._add(part, ids[~cut], np.diff(ends, prepend=-1) - 1)
 
-    def __call__(self, chunks: list[str]) -> np.ndarray:
+    def _forget(self, known: int):
+        """All but the first chunks, which are mostly the frequent ones."""
+        self.known, self.used = known, int(self.start[known])
+        self.chunks = pa.concat_arrays([self.chunks.slice(0, known)])
+        self.ids, self.start = self.ids[: self.used].copy(), self.start[: known + 1].copy()
+
+    def __call__(self, chunks: pa.Array) -> np.ndarray:
+        """Where ``start`` has each of these distinct chunks."""
+        chunks = chunks.cast(pa.large_string())
         if self.known + len(chunks) > REMEMBER:
-            # The first ones learned are mostly the frequent ones.
-            self.known = min(self.known, REMEMBER // 3)
-            self.used = int(self.start[self.known])
-            self.at = {c: i for c, i in self.at.items() if i < self.known}
-        found = list(map(self.at.get, chunks))
-        new = [c for c, i in zip(chunks, found, strict=True) if i is None]
-        if new:
-            self._learn(new)
-            found = [self.at[c] if i is None else i for c, i in zip(chunks, found, strict=True)]
-        return np.array(found, np.int64)
+            self._forget(min(self.known, REMEMBER // 3))
+        if self.chunks.nbytes + 4 * self.used > REMEMBER_BYTES:
+            size = pc.binary_length(self.chunks).to_numpy().cumsum() + 4 * self.start[1 : self.known + 1]
+            self._forget(int(np.searchsorted(size, REMEMBER_BYTES // 3, side="right")))
+        found = pc.index_in(chunks, value_set=self.chunks)
+        new = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        found = found.fill_null(-1).to_numpy().astype(np.int64)
+        if len(new):
+            at, self.learned = self.known, []
+            strings = chunks.take(pa.array(new)).to_pylist()
+            self._learn(strings)
+            place = {c: at + i for i, c in enumerate(self.learned)}
+            found[new] = [place[c] for c in strings]
+            self.chunks = pa.concat_arrays([self.chunks, pa.array(self.learned, pa.large_string())])
+            self.learned = []
+        return found
 
     def flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column's texts one after another, and each text's first."""
@@ -151,7 +170,7 @@ class Chunks:
         if self.splits:
             names = pc.replace_substring_regex(names, _MARKS, r"\1 \2")
         cuts, piece, names = flat_words(names, lower=False)
-        piece = self(names.to_pylist())[piece]
+        piece = self(names)[piece]
         take, ends = _runs(cuts[:-1][idx], np.diff(cuts)[idx])
         offsets = ends[offsets]
         piece = piece[take]
@@ -175,23 +194,12 @@ def _runs(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.repeat(start - ends[:-1], length) + np.arange(ends[-1]), ends
 
 
-def _doubled(batches):
-    """Every two batches as one: a chunk that both have is looked up once."""
-    held = []
-    for batch in batches:
-        held.append(batch)
-        if len(held) == 2:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
-    yield from held
-
-
 def _pieces(path: str, piece: int):
     def run(batches):
         chunks = chunks_of(path)
         pid = TaskContext.get().partitionId()
         seen = np.zeros(piece + 1, np.int64)
-        for batch in slices(_doubled(batches), rows=2048, bytes_=4 << 20):
+        for batch in slices(batches, rows=1024, bytes_=SLICE_BYTES):
             ids, first = chunks.flat(batch.column("text"))
             row, start, length, crc, rank, total = [], [], [], [], [], []
             for i in range(batch.num_rows):

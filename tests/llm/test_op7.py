@@ -95,3 +95,47 @@ def test_ids_of_mixed_strings():
             ids, first = chunks.flat(pa.array(part))
             for k, t in enumerate(part):
                 assert ids[first[k] : first[k + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def held(chunks, words):
+    """Bytes of Python, numpy and Arrow that stay after these words were tokenised, 1,000 in a text and 20 texts at a time."""
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    chunks.flat(pa.array(["the first call"]))
+    gc.collect()
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    for start in range(0, len(texts), 20):
+        chunks.flat(pa.array(texts[start : start + 20]))
+    gc.collect()
+    size = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    return size
+
+
+def test_remembered_chunks_take_little_memory():
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(60_000)]
+    assert held(m.Chunks(m.default_tokenizer()), words) < 100 * len(words)
+
+
+def test_long_chunks_are_bounded_in_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(m, "REMEMBER_BYTES", 1 << 20, raising=False)
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghij0123456789-.", k=2000)) for _ in range(4000)]
+    chunks, whole = m.Chunks(m.default_tokenizer()), Tokenizer.from_file(m.default_tokenizer())
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    arrow = pa.total_allocated_bytes()
+    for start in range(0, len(texts), 2):
+        part = texts[start : start + 2]
+        ids, first = chunks.flat(pa.array(part))
+        if start % 20 == 0:
+            assert [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == [e.ids for e in whole.encode_batch(part, add_special_tokens=False)]
+    kept = sum(x.nbytes for x in (chunks.ids, chunks.start)) + pa.total_allocated_bytes() - arrow + sum(map(len, getattr(chunks, "at", ())))
+    assert kept < 6 << 20
